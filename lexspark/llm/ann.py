@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lexspark.llm.common import stored
 
 SAMPLE, BLOCK = 20_000, 4096
-SHARE, LEAST = 0.5, 3000
+SHARE, LEAST = 0.65, 3000
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:

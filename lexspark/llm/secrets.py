@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from lexspark.llm.common import cut
 
 CANDIDATE = r"[A-Za-z0-9/+=_\-]{16,}+"
-TREES, DEPTH, BINS = 12, 4, 16
-FINDINGS = 2800
+TREES, DEPTH, BINS = 12, 6, 16
+FINDINGS = 3150
 THRESHOLD = 0.4
 LEFT_CHARS, RIGHT_CHARS = 40, 16
 #: Words whose letters speak against a secret.
@@ -76,6 +76,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (F.regexp_replace(b64(43, "8"), "[+/=]", "-"), "Authorization: Bearer ", "", 1),
         (F.translate(hexes(16, "9"), "abcdef", "123456"), "", "", 0),
         (F.translate(hexes(16, "10"), "abcdef", "123456"), "card ", ".", 0),
+        (F.upper(hexes(40, "22")), 'TOKEN = "', '"', 1),
         (hexes(40, "11"), "commit ", "", 0),
         (hexes(64, "12"), "sha256:", "", 0),
         (F.concat(hexes(8, "13"), lit("-"), hexes(4, "14"), lit("-"), hexes(4, "15"), lit("-"), hexes(4, "16"), lit("-"), hexes(12, "17")), "uuid ", "", 0),
@@ -102,7 +103,7 @@ def grow(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
     rows = cut(rows.select("tree", "w", "label", "f", F.lit(1).alias("node")))
     rng = np.random.default_rng(seed)
     out: list[dict[int, tuple]] = [{} for _ in range(trees)]
-    tried = max(2, len(FEATURES) // 2)
+    tried = max(2, 2 * len(FEATURES) // 3)
     for level in range(depth + 1):
         sums: dict[tuple[int, int], np.ndarray] = {}
         for r in rows.select("tree", "node", "w", "label", F.posexplode("f").alias("k", "bin")).groupBy("tree", "node", "k", "bin").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("label")).alias("y")).orderBy("tree", "node").collect():
