@@ -1,4 +1,5 @@
 """Registered queries with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lexspark.plans.tables import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
