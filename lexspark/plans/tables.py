@@ -213,9 +213,9 @@ def removed_keys(spark, sf_dir):
     return before.join(now, "o_orderkey", "left_anti").select("o_orderkey")
 
 
-@query("SELECT user_id, CAST(ts AS DATE) AS day, CASE WHEN bool_or(event_type = 'purchase') THEN 'purchase' ELSE min(event_type) END AS kind, count(*) AS n FROM events GROUP BY 1, 2")
+@query("SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, CASE WHEN bool_or(event_type = 'purchase') THEN 'purchase' ELSE min(event_type) END AS kind, count(*) AS n FROM events GROUP BY 1, 2")
 def event_precedence(spark, sf_dir):
-    own = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day"))
+    own = table(spark, sf_dir, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
     return own.agg(F.when(F.bool_or(F.col("event_type") == "purchase"), "purchase").otherwise(F.min("event_type")).alias("kind"), F.count("*").alias("n"))
 
 
