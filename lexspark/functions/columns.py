@@ -35,7 +35,7 @@ def japanese_date(x: Column) -> Column:
 
 def comma_list(x: Column) -> Column:
     """Parts between commas, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), ","), F.btrim), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), ","), lambda p: F.btrim(p)), lambda p: p != "")
 
 
 def series_key(doc_id: Column) -> Column:

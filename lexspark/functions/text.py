@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 BEFORE, AFTER = 120, 220
 OPEN, CLOSE, GAP = "\x01", "\x02", "…"
@@ -18,7 +19,7 @@ def nfkc(text: str | None) -> str:
     return unicodedata.normalize("NFKC", text or "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc_column(texts: pd.Series) -> pd.Series:
     return texts.map(nfkc)
 
@@ -120,7 +121,7 @@ def line_diff(old: str, new: str) -> list[tuple[str, str]]:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def excerpt_column(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for text, terms in rows:
         yield pd.Series([excerpt(x, list(t)) for x, t in zip(text, terms, strict=True)])
