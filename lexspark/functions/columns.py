@@ -87,12 +87,12 @@ def running_key(x: Column) -> Column:
 
 def occurrences(text: Column, term: str) -> Column:
     """Overlapping occurrences of a term in a text, in one pass."""
-    return F.regexp_count(text, F.lit("(?=" + "".join(rf"\x{{{ord(c):x}}}" for c in term) + ")"))
+    return F.regexp_count(text, F.lit("(?=" + "".join(rf"\x{{{ord(c):x}}}" for c in term) + ")(?s:.)"))
 
 
 def trigrams(text: Column) -> Column:
     """All runs of three characters, in one pass."""
-    return F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit("(?s)(?=(...))."), F.lit(1))
 
 
 def inner_product(a: Column, b: Column) -> Column:
