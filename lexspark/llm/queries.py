@@ -56,7 +56,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.deduplicate(table(spark, sf_dir, "documents"))
+    return substring.deduplicate(table(spark, sf_dir, "documents"), shortest=1, least_run=substring.SHORTEST)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

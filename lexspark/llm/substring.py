@@ -8,7 +8,8 @@ the chunks, an equi join that adaptive execution splits where one digest is hot.
 
 Null and empty texts: no chunks. Rows that share an id are one document's: their chunks count together, and where they
 start at the same byte the first occurrence is all of them. A null id is an id and comes first. Chunks of under
-`least` bytes (short texts, ends) are chunks too, but do not count as duplicates. Empty table: no rows.
+`least` bytes (short texts, ends) are chunks too. The query counts every chunk and joins neighbouring duplicates; only
+joined runs of under SHORTEST bytes that are not the whole text are left out. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from lexspark.llm.common import as_bytes, blocks
 
 #: Mean distance of cuts is 2 ** BITS + LEAST bytes: a passage of 50 words holds several whole chunks.
 BITS, LEAST = 5, 16
-#: Chunks shorter than this never count as duplicates: short words and line ends repeat everywhere.
+#: Runs of duplicates shorter than this don't count: short words and line ends repeat everywhere. As the default of
+#: `shortest` it leaves out single chunks, also inside a run.
 SHORTEST = 24
 _GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=4).digest() for b in range(256)), "<u4").copy()
 
@@ -80,30 +82,39 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select(id_col, "begin", "size", F.col("first.id").alias("first_id"), "copies")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST) -> DataFrame:
-    """A row for each id: n_bytes, dup_chunks, dup_bytes, longest_dup (bytes of the longest run of duplicates) and spans (begin, end of each run)."""
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST, least_run: int = 0) -> DataFrame:
+    """A row for each id: n_bytes, dup_chunks, dup_bytes, longest_dup (bytes of the longest run of duplicates) and spans (begin, end of each run).
+
+    Chunks under `shortest` bytes are no duplicates; runs under `least_run` bytes count only where they are the whole text.
+    """
     found = duplicates(docs, id_col, text_col, shortest)
-    runs = found.groupBy(id_col).agg(F.count("*").alias("dup_chunks"), F.sum("size").alias("dup_bytes"), F.array_sort(F.collect_list(F.struct("begin", (F.col("begin") + F.col("size")).alias("end")))).alias("own"))
-    runs = runs.select(id_col, "dup_chunks", "dup_bytes", _joined(F.col("own")).alias("spans"))
+    runs = found.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("begin", (F.col("begin") + F.col("size")).alias("end")))).alias("own"))
+    runs = runs.select(F.col(id_col).alias("_id"), _joined(F.col("own")).alias("runs"))
     sizes = docs.groupBy(id_col).agg(F.max(F.coalesce(F.octet_length(text_col), F.lit(0))).cast("bigint").alias("n_bytes"))
-    runs = runs.withColumnRenamed(id_col, "_id")
     out = sizes.join(runs, sizes[id_col].eqNullSafe(runs["_id"]), "left").drop("_id")
-    nothing = F.array().cast("array<struct<begin:bigint,end:bigint>>")
-    return out.select(id_col, "n_bytes", F.coalesce("dup_chunks", F.lit(0)).cast("bigint").alias("dup_chunks"), F.coalesce("dup_bytes", F.lit(0)).cast("bigint").alias("dup_bytes"), F.coalesce("spans", nothing).alias("spans")).withColumn(
-        "longest_dup", F.coalesce(F.array_max(F.transform("spans", lambda s: s["end"] - s["begin"])), F.lit(0)).cast("bigint")
-    )
+    kept = F.filter(F.coalesce("runs", F.array().cast(f"array<{_RUN}>")), lambda r: (r["end"] - r["begin"] >= least_run) | ((r["begin"] == 0) & (r["end"] == F.col("n_bytes"))))
+    sums = lambda name: F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r[name])
+    out = out.withColumn("runs", kept).select(id_col, "n_bytes", sums("chunks").alias("dup_chunks"), sums("bytes").alias("dup_bytes"), F.transform("runs", lambda r: F.struct(r["begin"].alias("begin"), r["end"].alias("end"))).alias("spans"))
+    return out.withColumn("longest_dup", F.coalesce(F.array_max(F.transform("spans", lambda s: s["end"] - s["begin"])), F.lit(0)).cast("bigint"))
+
+
+_RUN = "struct<begin:bigint,end:bigint,chunks:bigint,bytes:bigint>"
 
 
 def _joined(spans):
-    """Neighbouring spans, in order, as one."""
-    empty = F.struct(F.array().cast("array<struct<begin:bigint,end:bigint>>").alias("done"), F.lit(-1).cast("bigint").alias("begin"), F.lit(-1).cast("bigint").alias("end"))
-    last = lambda s: F.when(s["begin"] < 0, s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["begin"].alias("begin"), s["end"].alias("end")))))
-    return F.aggregate(
-        spans,
-        empty,
-        lambda s, x: F.when(x["begin"] == s["end"], F.struct(s["done"].alias("done"), s["begin"].alias("begin"), x["end"].alias("end"))).otherwise(F.struct(last(s).alias("done"), x["begin"].alias("begin"), x["end"].alias("end"))),
-        last,
-    )
+    """Neighbouring spans, in order, as one, with the number and the bytes of its chunks."""
+    run = lambda begin, end, chunks, size: F.struct(begin.alias("begin"), end.alias("end"), chunks.alias("chunks"), size.alias("bytes"))
+    zero, one = (F.lit(n).cast("bigint") for n in (0, 1))
+    empty = F.struct(F.array().cast(f"array<{_RUN}>").alias("done"), run(zero - 1, zero - 1, zero, zero).alias("now"))
+    last = lambda s: F.when(s["now"]["begin"] < 0, s["done"]).otherwise(F.concat(s["done"], F.array(s["now"])))
+
+    def step(s, x):
+        now, size = s["now"], x["end"] - x["begin"]
+        # rows of one id may hold the same place more than once
+        longer = F.struct(s["done"].alias("done"), run(now["begin"], F.greatest(now["end"], x["end"]), now["chunks"] + 1, now["bytes"] + size).alias("now"))
+        return F.when(x["begin"] <= now["end"], longer).otherwise(F.struct(last(s).alias("done"), run(x["begin"], x["end"], one, size).alias("now")))
+
+    return F.aggregate(spans, empty, step, last)
 
 
 def remove(text: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from lexspark.llm import bpe, decontam, minhash, substring
+from lexspark.llm import bpe, decontam, minhash, queries, substring
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, source string, found string, a string"
@@ -198,3 +198,20 @@ def test_substring_deduplicate_equals_plain(spark, odd, real):
     rest = substring.remove(extra[2][1].encode(), got[9003][1])
     assert rest.startswith(b"xx own2") and rest.endswith(b"end14") and len(rest) < 350
     assert substring.deduplicate(odd.limit(0)).count() == 0 and substring.deduplicate(odd).count() == 9
+
+
+def test_substring_exact_copy_is_one_span(spark, tmp_path):
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n))
+    texts = [words(n) for n in (400, 120, 60, 3)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(10 + i, t) for i, t in enumerate(texts)] + [(20, words(40) + " " + texts[1] + " " + words(40)), (21, texts[2]), (21, texts[2])]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op10_substring(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        assert not got[i].spans and got[i].dup_chunks == got[i].dup_bytes == 0
+        r = got[10 + i]
+        assert [tuple(s) for s in r.spans] == [(0, len(t))] and r.longest_dup == r.dup_bytes == r.n_bytes == len(t) and r.dup_chunks == len(substring.cuts(t.encode()))
+        assert substring.remove(t.encode(), r.spans) == b""
+    # inside another text all but the cut chunks at the passage's ends; a twice-held row's run is one span
+    assert [s for s in got[20].spans if s.end - s.begin > 0.75 * len(texts[1])] and all(s.end - s.begin >= substring.SHORTEST for s in got[20].spans)
+    assert [tuple(s) for s in got[21].spans] == [(0, len(texts[2]))]
