@@ -1,6 +1,7 @@
 """Secret scan with DataFrame functions only: candidates, features, and a random forest that removes false positives.
 
-A candidate is a run of at least 16 characters of letters, digits and / + = _ - that holds a digit. Its features are
+A candidate is the value after a secret word or an assignment, of any length and characters; a run of at least 16
+characters of letters, digits and / + = _ -; or what begins like a known kind of key. All are scored. Its features are
 length, character transitions, kinds of characters, dictionary coverage, path signs and the neighbouring words. The
 forest is grown by DataFrame aggregates: each level counts weights by tree, node, feature and bin over the labelled
 findings, and the driver, which sees at most TREES * 2 ** DEPTH * features * BINS sums, picks the splits. It is applied
@@ -20,9 +21,22 @@ from pyspark.sql import functions as F
 
 from lexspark.llm.common import cut
 
-CANDIDATE = r"[A-Za-z0-9/+=_\-]{16,}+"
+SECRET_WORDS = "token|secret|passw|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential"
+PREFIXES = "AKIA|ASIA|ghp_|gho_|sk_live_|sk-|xox[bp]-|AIza|glpat-"
+_RUN, _NAME = r"[A-Za-z0-9/+=_\-]{16}", r"[A-Za-z_][A-Za-z0-9_\-]{0,40}"
+_SIGN = r"[\"'\]]{0,2}\s{0,3}(?:=>|:=|=|:(?!//))\s{0,3}"
+# where a value without quotes ends: before another assignment, or before closing signs and space
+_ENDS = rf"(?=[,;&]{_NAME}[\"']?[=:]|[\"'`.,;:)\]}}>]*(?:\s|\z))"
+#: Group 1: what leads to the value of a secret word; group 2: what leads to that of another name.
+CANDIDATE = (
+    rf"(?<![A-Za-z0-9])([A-Za-z0-9_.\-]{{0,40}}?(?i:{SECRET_WORDS})[A-Za-z0-9_\-]{{0,24}}(?:{_SIGN}|\s{{1,3}}(?!{_NAME}\s{{0,3}}[\"']?[=:]))(?:(?i:bearer|basic|is)\s{{1,3}})?[\"'`]?)"
+    rf"(?:(?<=\")[^\"\n]{{1,100}}(?=\")|(?<=')[^'\n]{{1,100}}(?=')|[^\s\"'`]\S{{0,511}}?{_ENDS})"
+    rf"|(?<![A-Za-z0-9])({_NAME}{_SIGN}[\"'`]?)(?!\S{{0,100}}?{_RUN})[^\s\"'`]\S{{0,99}}?{_ENDS}"
+    rf"|{_RUN}[A-Za-z0-9/+=_\-]*+"
+    rf"|(?<![A-Za-z0-9])(?:{PREFIXES})[A-Za-z0-9_\-]{{4,}}+"
+)
 TREES, DEPTH, BINS = 12, 6, 16
-FINDINGS = 3150
+FINDINGS = 150 * 42
 THRESHOLD = 0.4
 LEFT_CHARS, RIGHT_CHARS = 40, 16
 #: Words whose letters speak against a secret.
@@ -50,7 +64,7 @@ def features(text: Column, left: Column, right: Column) -> list[Column]:
         flag(near.rlike(r"(token|secret|passw|pwd|api_?key|apikey|access_?key|auth|bearer|credential)[^\n]{0,24}$") | near.rlike(r"(token|secret|passw|pwd|key)[a-z_\-]{0,8}=")),
         flag(left.rlike(r"[=:]\s*[\"']?$") | text.rlike(r"^[A-Za-z_\-]{2,20}=.")),
         flag(near.rlike(r"(sha|commit|checksum|digest|md5|uuid|isbn|version|revision|phone|card|iban|order|serial|etag|blob)[^\n]{0,20}$")),
-        flag(body.rlike(r"^(AKIA|ASIA|ghp_|gho_|sk_live_|sk-|xox[bp]-|AIza|glpat-)")),
+        flag(body.rlike(f"^({PREFIXES})")),
         flag(body.rlike(r"^[0-9\-]+$")),
     )]
 
@@ -65,6 +79,8 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     prose = F.concat(word("a"), F.lit(" "), word("b"), F.lit(". "), word("c"), F.lit(" "))
     after = F.concat(F.lit(" "), word("d"))
     lit = F.lit
+    letters = lambda c: F.translate(c, "0123456789", "ghijklmnop")
+    long_word = F.concat(word("l1"), word("l2"), word("l3"), word("l4"), word("l5"), word("l6"))
     kinds = [
         (hexes(40, "1"), 'token = "', '"', 1),
         (F.concat(lit("password="), hexes(18, "2")), "", "", 1),
@@ -87,6 +103,27 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (F.concat(lit("DE"), F.translate(hexes(20, "21"), "abcdef", "123456")), "iban ", "", 0),
         (F.concat(lit("test_example_"), word("j"), lit("1234")), "password: ", "", 0),
         (F.concat(word("k"), word("l"), word("m"), word("n"), word("o"), word("p"), lit("1")), "", "", 0),
+        (F.concat(word("q"), word("r"), hexes(4, "30")), "password: ", "", 1),
+        (F.concat(word("s"), lit("7"), word("t"), F.translate(hexes(2, "31"), "abcdef", "123456")), 'pwd = "', '"', 1),
+        (F.concat(lit("P@"), b64(7, "32"), lit("!")), "password: ", "", 1),
+        (F.concat(b64(4, "33"), lit("#"), b64(5, "34"), lit("$")), 'db_password = "', '"', 1),
+        (F.concat(word("u"), lit("#"), hexes(5, "35"), lit("!")), "the password is ", "", 1),
+        (F.concat(lit("AKIA"), F.translate(upper(16, "36"), "0123456789", "ABCDEFGHIJ")), "", "", 1),
+        (letters(F.regexp_replace(b64(40, "37"), "[+/=]", "x")), 'secret_key = "', '"', 1),
+        (letters(hexes(24, "38")), "api_key=", "", 1),
+        (F.concat(lit("ghp_"), F.regexp_replace(b64(9, "39"), "[+/=]", "x")), "", "", 1),
+        (hexes(10, "40"), "api_token=", "", 1),
+        (F.regexp_replace(b64(40, "41"), "[+=]", "/"), 'aws_secret_access_key = "', '"', 1),
+        (F.concat(word("v"), word("w")), "password: ", "", 0),
+        (F.concat(word("x"), word("y")), "the token ", "", 0),
+        (F.concat(F.initcap(word("z")), word("z2")), "author: ", "", 0),
+        (long_word, "", "", 0),
+        (F.initcap(long_word), "", "", 0),
+        (F.upper(long_word), "", "", 0),
+        (F.when(F.pmod(i, lit(2)) == 0, F.repeat(lit("-"), 20)).otherwise(F.repeat(lit("="), 24)), "", "", 0),
+        (F.concat(word("m1"), F.initcap(word("m2")), F.initcap(word("m3")), F.initcap(word("m4")), F.initcap(word("m5")), lit("Name")), "", "", 0),
+        (F.concat(word("n1"), lit("_secret_"), word("n2"), lit("_access_key")), "", ' = "', 0),
+        (F.translate(hexes(3, "42"), "abcdef", "123456"), "count = ", "", 0),
     ]
     case = lambda k: reduce(lambda c, x: c.when(F.pmod(i, lit(len(kinds))) == x[0], x[1][k] if isinstance(x[1][k], Column) else lit(x[1][k])), list(enumerate(kinds))[1:], F.when(F.pmod(i, lit(len(kinds))) == 0, kinds[0][k] if isinstance(kinds[0][k], Column) else lit(kinds[0][k])))
     return spark.range(n).select(case(0).alias("text"), F.concat(prose, case(1)).alias("left"), F.concat(case(2), after).alias("right"), case(3).alias("label"))
@@ -147,16 +184,18 @@ def probability(forest: list[dict[int, tuple]], f: list[Column]) -> Column:
 def _candidates(text: Column) -> Column:
     """Of a text with candidates: array of begin, text, left and right (characters beside it)."""
     found, rest = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.split(text, CANDIDATE, -1)
-    pieces = F.arrays_zip(found.alias("x"), F.slice(rest, 1, F.size(found)).alias("l"), F.slice(rest, 2, F.size(found)).alias("r"))
+    led = lambda x: F.length(F.concat(F.regexp_extract(x, CANDIDATE, 1), F.regexp_extract(x, CANDIDATE, 2)))
+    pieces = F.arrays_zip(F.transform(found, lambda x: F.struct(x.alias("x"), led(x).alias("led"))).alias("m"), F.slice(rest, 1, F.size(found)).alias("l"), F.slice(rest, 2, F.size(found)).alias("r"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins"))
-    begins = F.aggregate(pieces, start, lambda s, p: F.struct((s["at"] + F.length(p["l"]) + F.length(p["x"])).alias("at"), F.concat(s["begins"], F.array(s["at"] + F.length(p["l"]))).alias("begins")), lambda s: s["begins"])
-    return F.zip_with(pieces, begins, lambda p, b: F.struct(b.alias("begin"), p["x"].alias("text"), F.substring(p["l"], -LEFT_CHARS, LEFT_CHARS).alias("left"), F.substring(p["r"], 1, RIGHT_CHARS).alias("right")))
+    begins = F.aggregate(pieces, start, lambda s, p: F.struct((s["at"] + F.length(p["l"]) + F.length(p["m"]["x"])).alias("at"), F.concat(s["begins"], F.array(s["at"] + F.length(p["l"]) + p["m"]["led"])).alias("begins")), lambda s: s["begins"])
+    value = lambda m: F.substring(m["x"], m["led"] + 1, F.length(m["x"]))
+    return F.zip_with(pieces, begins, lambda p, b: F.struct(b.alias("begin"), value(p["m"]).alias("text"), F.substring(F.concat(p["l"], F.substring(p["m"]["x"], F.lit(1), p["m"]["led"])), -LEFT_CHARS, LEFT_CHARS).alias("left"), F.substring(p["r"], 1, RIGHT_CHARS).alias("right")))
 
 
 def scan(docs: DataFrame, forest: list[dict[int, tuple]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each candidate: id, begin, length, sha256, score, secret."""
     some = docs.select(F.col(id_col), F.col(text_col).alias("_text")).where(F.col("_text").rlike(CANDIDATE))
-    rows = some.select(id_col, F.explode(_candidates(F.col("_text"))).alias("c")).where(F.col("c.text").rlike("[0-9]"))
+    rows = some.select(id_col, F.explode(_candidates(F.col("_text"))).alias("c"))
     rows = rows.select(id_col, "c", *[x.alias(f"f{k}") for k, x in enumerate(features(F.col("c.text"), F.col("c.left"), F.col("c.right")))])
     scored = rows.withColumn("score", F.round(probability(forest, [F.col(f"f{k}") for k in range(len(FEATURES))]), 6))
     return scored.select(id_col, (F.col("c.begin")).cast("bigint").alias("begin"), F.length("c.text").cast("bigint").alias("length"), F.sha2("c.text", 256).alias("sha256"), "score", (F.col("score") >= THRESHOLD).alias("secret"))
@@ -165,8 +204,8 @@ def scan(docs: DataFrame, forest: list[dict[int, tuple]], id_col: str = "doc_id"
 def redact(docs: DataFrame, forest: list[dict[int, tuple]], text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs, each secret replaced by the mark; other texts as they are."""
     text = F.col(text_col)
-    known = F.transform(_candidates(text), lambda c: F.struct(c["begin"].alias("begin"), F.length(c["text"]).alias("n"), c["text"].rlike("[0-9]").alias("ok"), F.array(*features(c["text"], c["left"], c["right"])).alias("f")))
-    scored = F.transform(known, lambda c: F.struct(c["begin"].alias("begin"), c["n"].alias("n"), (c["ok"] & (F.round(probability(forest, [c["f"][k] for k in range(len(FEATURES))]), 6) >= THRESHOLD)).alias("secret")))
+    known = F.transform(_candidates(text), lambda c: F.struct(c["begin"].alias("begin"), F.length(c["text"]).alias("n"), F.array(*features(c["text"], c["left"], c["right"])).alias("f")))
+    scored = F.transform(known, lambda c: F.struct(c["begin"].alias("begin"), c["n"].alias("n"), (F.round(probability(forest, [c["f"][k] for k in range(len(FEATURES))]), 6) >= THRESHOLD).alias("secret")))
     found = F.filter(scored, lambda c: c["secret"])
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     parts = F.aggregate(found, start, lambda s, c: F.struct((c["begin"] + c["n"]).alias("at"), F.concat(s["parts"], F.array(F.substring(text, s["at"] + 1, c["begin"] - s["at"]), F.lit(mark))).alias("parts")), lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text))))
