@@ -41,7 +41,7 @@ THRESHOLD = 0.4
 LEFT_CHARS, RIGHT_CHARS = 40, 16
 #: Words whose letters speak against a secret.
 DICTIONARY = "example|sample|test|dummy|placeholder|your|null|none|todo|changeme|redacted|insert|here|user|name|file|path|page|index|image|version|release|build|http|https|www|html|content|static|assets|query"
-FEATURES = ("length", "transitions", "digits", "capitals", "hex", "distinct", "dictionary", "path", "secret_word", "assigned", "plain_word", "prefix", "number")
+FEATURES = ("length", "transitions", "digits", "capitals", "hex", "distinct", "dictionary", "path", "secret_word", "assigned", "plain_word", "prefix", "number", "closed")
 
 
 def features(text: Column, left: Column, right: Column) -> list[Column]:
@@ -51,7 +51,7 @@ def features(text: Column, left: Column, right: Column) -> list[Column]:
     flag = lambda c: F.when(c, 1).otherwise(0)
     body = F.regexp_replace(text, r"^[A-Za-z_\-]{1,12}=", "")
     changes = F.length(F.regexp_replace(body, r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])", "#")) - F.length(body)
-    near = F.lower(F.concat(left, text))
+    near = F.lower(left)
     return [c.cast("int") for c in (
         F.least(F.lit(15), F.floor(n / 4)),
         F.least(F.lit(15), F.floor(F.lit(16) * changes / F.greatest(F.length(body), F.lit(1)))),
@@ -61,11 +61,13 @@ def features(text: Column, left: Column, right: Column) -> list[Column]:
         F.least(F.lit(15), F.size(F.array_distinct(F.split(body, ""))) / 2),
         share(f"(?i){DICTIONARY}"),
         F.least(F.lit(15), n - F.length(F.regexp_replace(text, "/", "")) + flag(left.rlike(r"[/.@:]$"))),
-        flag(near.rlike(r"(token|secret|passw|pwd|api_?key|apikey|access_?key|auth|bearer|credential)[^\n]{0,24}$") | near.rlike(r"(token|secret|passw|pwd|key)[a-z_\-]{0,8}=")),
+        flag(near.rlike(f"({SECRET_WORDS})[^\\n]{{0,24}}$") | F.lower(text).rlike(r"(token|secret|passw|pwd|key)[a-z_\-]{0,8}=")),
         flag(left.rlike(r"[=:]\s*[\"']?$") | text.rlike(r"^[A-Za-z_\-]{2,20}=.")),
         flag(near.rlike(r"(sha|commit|checksum|digest|md5|uuid|isbn|version|revision|phone|card|iban|order|serial|etag|blob)[^\n]{0,20}$")),
         flag(body.rlike(f"^({PREFIXES})")),
         flag(body.rlike(r"^[0-9\-]+$")),
+        # right: 3 a closing quote, 2 a sign of assignment (the candidate is a name), 1 another sign, 0 space or the end
+        F.when(right.rlike("^[\"'`]"), 3).when(right.rlike(r"^\s{0,3}(=|:|=>)"), 2).when(right.rlike(r"^\S"), 1).otherwise(0),
     )]
 
 
@@ -185,11 +187,14 @@ def _candidates(text: Column) -> Column:
     """Of a text with candidates: array of begin, text, left and right (characters beside it)."""
     found, rest = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.split(text, CANDIDATE, -1)
     led = lambda x: F.length(F.concat(F.regexp_extract(x, CANDIDATE, 1), F.regexp_extract(x, CANDIDATE, 2)))
-    pieces = F.arrays_zip(F.transform(found, lambda x: F.struct(x.alias("x"), led(x).alias("led"))).alias("m"), F.slice(rest, 1, F.size(found)).alias("l"), F.slice(rest, 2, F.size(found)).alias("r"))
+    pieces = F.arrays_zip(F.transform(found, lambda x: F.struct(x.alias("x"), led(x).alias("led"))).alias("m"), F.slice(rest, 1, F.size(found)).alias("l"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins"))
     begins = F.aggregate(pieces, start, lambda s, p: F.struct((s["at"] + F.length(p["l"]) + F.length(p["m"]["x"])).alias("at"), F.concat(s["begins"], F.array(s["at"] + F.length(p["l"]) + p["m"]["led"])).alias("begins")), lambda s: s["begins"])
     value = lambda m: F.substring(m["x"], m["led"] + 1, F.length(m["x"]))
-    return F.zip_with(pieces, begins, lambda p, b: F.struct(b.alias("begin"), value(p["m"]).alias("text"), F.substring(F.concat(p["l"], F.substring(p["m"]["x"], F.lit(1), p["m"]["led"])), -LEFT_CHARS, LEFT_CHARS).alias("left"), F.substring(p["r"], 1, RIGHT_CHARS).alias("right")))
+    # neighbours come from the whole text, whatever other candidates stand there
+    left = lambda b: F.substring(text, F.greatest(b - LEFT_CHARS, F.lit(0)) + 1, F.least(b, F.lit(LEFT_CHARS)))
+    right = lambda p, b: F.substring(text, b + F.length(p["m"]["x"]) - p["m"]["led"] + 1, F.lit(RIGHT_CHARS))
+    return F.zip_with(pieces, begins, lambda p, b: F.struct(b.alias("begin"), value(p["m"]).alias("text"), left(b).alias("left"), right(p, b).alias("right")))
 
 
 def scan(docs: DataFrame, forest: list[dict[int, tuple]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

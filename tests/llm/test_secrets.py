@@ -32,3 +32,15 @@ def test_every_candidate_is_scored(spark, forest):
     for i, (t, value) in enumerate(FOUND):
         assert redacted[i] == texts[i].replace(value, "[SECRET]")
     assert all(redacted[i] == texts[i] for i in range(len(FOUND), len(rows)))
+
+
+def test_neighbours_come_from_the_whole_text(spark, forest):
+    text = 'x = 1 aws_secret_access_key_of_mine   "04dbebab91ab85687d33eeaaf9ac699e1188f962" thanonontioniner-hainghethesthing end'
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    for c in docs.select(secrets._candidates(docs["text"]).alias("c")).first().c:
+        at, n = c.begin, len(c.text)
+        assert text[at : at + n] == c.text
+        assert c.left == text[max(0, at - secrets.LEFT_CHARS) : at] and c.right == text[at + n : at + n + secrets.RIGHT_CHARS]
+    side = spark.createDataFrame([("04dbebab91ab85687d33eeaaf9ac699e1188f962", 'token = "', x) for x in ('" end', " = 1", " end")], "text string, left string, right string")
+    rows = [tuple(r) for r in side.select(*[f.alias(n) for n, f in zip(secrets.FEATURES, secrets.features(side["text"], side["left"], side["right"]), strict=True)]).collect()]
+    assert len(set(rows)) == 3 and all(r[secrets.FEATURES.index("secret_word")] == 1 for r in rows)
