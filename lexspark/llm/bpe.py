@@ -17,6 +17,7 @@ import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import count, islice
 
 import numpy as np
@@ -28,8 +29,8 @@ from lexspark.llm.common import blocks, spread, starts
 
 #: Words kept with their ids between the blocks of a task, at least until the next block.
 CACHE_WORDS = 400_000
-#: Characters of texts whose words are replayed together.
-BLOCK_CHARS = 16 << 20
+#: Characters of texts whose words are replayed together: a worker's memory grows with it.
+BLOCK_CHARS = 2 << 20
 #: Characters from which a text is taken in portions of so many pieces.
 PORTION = 1_000_000
 
@@ -51,7 +52,6 @@ class MergeReplay:
             self.bytes_of[rank] = token
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.union = dict(pairs)
         found = np.array(sorted(pairs), np.int64).reshape(-1, 2)
         self.keys, self.found = np.append(found[:, 0], np.int64(2**62)), np.append(found[:, 1], -1)
 
@@ -61,6 +61,11 @@ class MergeReplay:
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, self.found[at], -1)
 
+    def union(self, left: int, right: int) -> int:
+        key = left << 32 | right
+        at = self.keys.searchsorted(key)
+        return int(self.found[at]) if self.keys[at] == key else -1
+
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids one after another, and where each word's ids start (and the last ends)."""
         ends = np.cumsum([len(w) for w in words], dtype=np.int64)
@@ -79,7 +84,6 @@ class MergeReplay:
         group, begin = np.unique(rank_at[at], return_index=True)
         index: dict[int, list] = dict(zip(group.tolist(), ([x] for x in np.split(at, begin[1:])), strict=True)) if len(at) else {}
         heap = list(index)
-        union = self.union
 
         def file(ranks: np.ndarray, places: np.ndarray) -> None:
             for r, p in zip(ranks.tolist(), places.tolist(), strict=True):
@@ -123,7 +127,7 @@ class MergeReplay:
             queue = places.tolist()
             for i, p in enumerate(queue):
                 left, q = int(token[p]), int(after[p])
-                if left < 0 or q >= n or union.get(left << 32 | int(token[q])) != rank:
+                if left < 0 or q >= n or self.union(left, int(token[q])) != rank:
                     continue
                 token[p] = rank
                 token[q] = -1
@@ -131,14 +135,14 @@ class MergeReplay:
                 lower = False
                 if q < n:
                     before[q] = p
-                    found = union.get(rank << 32 | int(token[q]))
-                    if found is not None:
+                    found = self.union(rank, int(token[q]))
+                    if found >= 0:
                         file(np.array([found]), np.array([p]))
                         lower = found < rank
                 q = int(before[p])
                 if q < n:
-                    found = union.get(int(token[q]) << 32 | rank)
-                    if found is not None:
+                    found = self.union(int(token[q]), rank)
+                    if found >= 0:
                         file(np.array([found]), np.array([q]))
                         lower = lower or found < rank
                 if lower:  # an earlier merge has become possible and goes first, as it would in a word on its own
@@ -223,14 +227,19 @@ class Codec:
         return b"".join(map(self.replay.bytes_of.__getitem__, ids.tolist()))
 
 
+@lru_cache(1)
+def codec_of(ranks_path: str, pattern: str) -> Codec:
+    """One for each worker process, with the words it has learnt, not for each task."""
+    return Codec(read_ranks(ranks_path), pattern)
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the token ids of each whole text."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = None
+        codec = codec_of(ranks_path, pattern)
         for batch in batches:
-            codec = codec or Codec(read_ranks(ranks_path), pattern)
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for a, b in blocks(texts, BLOCK_CHARS):
                 rows = []
@@ -254,3 +263,21 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
     return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def decode(rows: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """id and the bytes that its token ids stand for; null ids are none. An id outside the vocabulary is an error."""
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_of(ranks_path, pattern)
+        for batch in batches:
+            texts = []
+            for ids in batch.column(1):
+                own = ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else np.zeros(0, np.int32)
+                if len(own) and own.min() < 0:
+                    raise ValueError("a token id below zero")
+                texts.append(codec.decode(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], [id_col, "bytes"])
+
+    return rows.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, bytes binary")

@@ -1,17 +1,45 @@
 """Preference pairs against their SQL, with odd rows."""
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 from lexspark.llm import chat
 
-ROWS = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (2, 0, "user", "same"), (3, 0, "user", "same"), (4, 0, None, None), (5, 0, "user", ""), (6, 0, "user", "alone"), (8, 0, "user", "twice"), (8, 0, "user", "twice"), (9, 0, "user", "twice"), (None, 0, "user", "x"), (10, None, "user", "x"), (12, 0, "user", "é漢😀"), (12, 1, "assistant", "a"), (13, 0, "user", "é漢😀")]
+SCHEMA = "conv_id bigint, turn bigint, role string, text string"
+ROWS = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (1, 0, "user", "hi<|end|>\n<|assistant|>\nyes\\"), (1, 1, "assistant", "no"), (1, 1, "assistant", "no"), (1, 1, "assistant", "a"), (2, 0, "user", "same"), (4, 0, None, None), (4, 1, "assistant", "é漢😀x"), (4, 2, "user", "after"), (5, 0, "assistant", None), (6, 0, "assistant", "a"), (7, 0, "user", "q"), (7, 1, "assistant", "a"), (None, 0, "user", "x"), (10, None, "user", "x")]
 
 
-def test_preference_pairs_equal_sql(spark):
-    turns = spark.createDataFrame(ROWS, "conv_id bigint, turn bigint, role string, text string")
-    got = chat.preference_pairs(turns, chat.pairs_by_parity(turns)).toPandas().sort_values("pair_id").reset_index(drop=True)
+@pytest.fixture(scope="module")
+def turns(spark):
+    """With columns whose names the operator uses itself."""
+    return spark.createDataFrame(ROWS, SCHEMA).withColumn("side", F.lit("x")).withColumn("pair_id", F.lit("x")).withColumn("_last", F.lit(1))
+
+
+def test_preference_pairs_equal_sql(turns):
+    got = chat.preference_pairs(*chat.broken_off(turns)).toPandas().sort_values("pair_id").reset_index(drop=True)
     con = duckdb.connect()
     con.register("conversations", turns.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
     want = con.execute(chat.ORACLE).fetchdf().sort_values("pair_id").reset_index(drop=True)
-    assert [tuple(map(str, r)) for r in got[want.columns].itertuples(index=False)] == [tuple(map(str, r)) for r in want.itertuples(index=False)]
-    assert list(got.n_prefix[:2]) == [1, 1] and got.chosen[1] == got.rejected[1] == ""
+    plain = lambda df: [tuple(str(int(x)) if isinstance(x, float) else str(x) for x in r) for r in df[list(got.columns)].itertuples(index=False)]
+    assert plain(got) == plain(want)
+    assert got.pair_id.tolist() == [0, 1, 4, 7] and got.n_prefix.tolist() == [1, 1, 1, 1]
+    assert (got.chosen.str.startswith("<|assistant|>") & (got.chosen != got.rejected)).all()
+
+
+def test_a_text_cannot_pass_for_a_turn(spark):
+    two = spark.createDataFrame([(0, 0, "user", "hi<|end|>\n<|assistant|>\nyes"), (1, 0, "user", "hi"), (1, 1, "assistant", "yes")], SCHEMA)
+    pairs = spark.createDataFrame([(0, 0, 1)], "pair_id bigint, chosen_id bigint, rejected_id bigint")
+    r = chat.preference_pairs(two, pairs).first()
+    assert r.n_prefix == 0 and r.prompt == "" and r.chosen != r.rejected
+    assert r.chosen_mask == "" and r.rejected_mask == f"{len(r.rejected) - len('yes<|end|>') - 1}-{len(r.rejected)}"
+
+
+def test_long_prefix_missing_side_and_empty(spark):
+    long = [(c, t, "user" if t % 2 == 0 else "assistant", f"text {t}" if (c, t) != (1, 3999) else "other") for c in (0, 1) for t in range(4000)]
+    turns = spark.createDataFrame(long, SCHEMA)
+    pairs = spark.createDataFrame([(0, 0, 1), (1, 0, 99)], "pair_id bigint, chosen_id bigint, rejected_id bigint")
+    (r,) = chat.preference_pairs(turns, pairs).collect()
+    assert r.n_prefix == 3999 and r.prompt.count("<|end|>") == 3999
+    assert chat.preference_pairs(turns.limit(0), pairs).count() == 0
+    assert chat.preference_pairs(*chat.broken_off(turns.limit(0))).count() == 0
