@@ -13,8 +13,7 @@ from lexspark.llm.common import held_out, table
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    return chat.preference_pairs(turns, chat.pairs_by_parity(turns))
+    return chat.preference_pairs(*chat.broken_off(table(spark, sf_dir, "conversations")))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
