@@ -1,14 +1,17 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
 Inputs of a step are a word and its characters: the sum of a hashed word vector and of hashed character n-gram vectors
-(prefixes, suffixes and inner grams, with marks at the ends). A text is read in overlapping windows of WINDOW words;
+(prefixes, suffixes and inner grams, with marks at the ends). A run of over PART bytes without space (glued words, text in
+scripts without spaces) is a step for each of its overlapping parts, so all of it counts. A text is read in overlapping windows of WINDOW words;
 its score is that of its worst window, and every word is in some window. Training is on whole labelled texts by their
 worst window, on a bounded, documented sample of labelled rows: the MAX_DOCS of each label with the smallest
 hash of their id, of at most MAX_CHARS characters. Scoring takes every window of every text.
 
 Null and empty texts have one empty window, which the network scores like any other. Texts without labels of one kind
 give the share of toxic labels to every text (0.0 without labels). Repeated rows: same score. Rows of `labels` that are
-null or contradict one another for an id: the largest label counts. Empty tables: no rows.
+null take no part, of those that contradict one another for an id the largest label counts; of an id with several texts
+the least text is learnt. Very long texts: all their windows, in bounded portions. Ties of the worst window: same score.
+A column of docs that has the name of the score's column is replaced; other columns stay. Empty tables: no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ MAX_DOCS, MAX_CHARS = 1200, 12_000
 WINDOW, STRIDE = 48, 36
 DIM, HIDDEN = 12, 8
 WORD_ROWS, GRAM_ROWS = 1 << 15, 1 << 15
+#: Bytes of a run without space that is one step; longer ones are cut into parts that share OVERLAP bytes.
+PART, OVERLAP = 40, 10
 THRESHOLD = 0.3
 #: A-Z to a-z; every other ASCII character that is no letter or digit to a space.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -35,7 +40,7 @@ _MUL = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np
 
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the n-grams (3 to 5 bytes, ends marked) of each word, and where each word's begin. The word itself is its first row."""
-    own = [b"^" + w[:40] + b"$" for w in words]
+    own = [b"^" + w + b"$" for w in words]
     n = np.array([len(x) for x in own], np.int64)
     at = starts(n)
     flat = np.frombuffer(b"".join(own), np.uint8).astype(np.uint32) + np.uint32(1)
@@ -56,6 +61,14 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return rows[order], starts(np.bincount(place, minlength=len(words)))
 
 
+def read(text: bytes) -> list[bytes]:
+    """A text's words, long ones in overlapping parts."""
+    words = text.translate(_WORDS).split()
+    if max(map(len, words), default=0) <= PART:
+        return words
+    return [x for w in words for x in ([w] if len(w) <= PART else [w[i : i + PART] for i in range(0, len(w) - OVERLAP, PART - OVERLAP)])]
+
+
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For texts of so many words: each window's text, first word (in its text) and number of words; a text has one at least."""
     count = np.maximum(1, -(-(lengths - (WINDOW - STRIDE)) // STRIDE))
@@ -144,7 +157,7 @@ class Network:
 
 def prepared(texts: list[bytes]):
     """Distinct words, each window's text, words [windows, WINDOW] (the number of distinct words stands for none) and size."""
-    words = [t.translate(_WORDS).split() for t in texts]
+    words = [read(t) for t in texts]
     length = np.array([len(w) for w in words], np.int64)
     number, own = numbered([x for w in words for x in w])
     text, first, size = windows(length)
@@ -184,7 +197,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int =
     # inputs start from how much oftener each row is in toxic texts
     seen = np.zeros((2, WORD_ROWS + GRAM_ROWS))
     for t, y in zip(texts, labels, strict=True):
-        rows, _ = grams(list(set(t.translate(_WORDS).split())))
+        rows, _ = grams(list(set(read(t))))
         seen[int(y)][np.unique(rows)] += 1
     total = np.array([(labels == 0).sum(), (labels == 1).sum()])
     # and shrink where few texts speak for it: a row of one or two texts would only mark those texts
@@ -246,7 +259,7 @@ def labelled(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id",
     texts, marks = [], []
     for y in (0, 1):
         ids = near.where(F.col("toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
-        rows = docs.join(F.broadcast(ids), docs[id_col] == ids["_id"], "left_semi").where(F.length(text_col) <= max_chars).select(id_col, text_col).dropDuplicates([id_col]).collect()
+        rows = docs.join(F.broadcast(ids), docs[id_col] == ids["_id"], "left_semi").where(F.length(text_col) <= max_chars).groupBy(id_col).agg(F.min(text_col)).collect()
         rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
         texts += [r[1].encode() for r in rows]
         marks += [y] * len(rows)
