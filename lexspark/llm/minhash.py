@@ -5,14 +5,17 @@
 2. HASHES universal hash functions (multiply-shift) give the minima of a set; BANDS bands of ROWS minima give buckets.
 3. Signature verification and full sets. In each bucket one pivot is compared with every member (linear in the bucket);
    the links that full sets confirm go to connected components (alternating large-star and small-star). Buckets whose
-   members are then still in different components are compared whole, in blocks of bounded size: pairs of one component
-   are skipped, pairs whose minima agree too seldom to reach the threshold are passed over, the others are confirmed
-   on full sets, and each block returns at most a spanning forest of its links. No pair of a group is emitted as a row.
+   members are then still in different components are compared whole, by classes of set sizes that a link can join and
+   in blocks of bounded size: pairs of one component are skipped, pairs whose minima agree too seldom to reach the
+   threshold are passed over, the others are confirmed on full sets, and each block returns at most a spanning forest
+   of its links. No pair of a group is emitted as a row. What a bucket's members are joined with is salted by its size.
 4. The components of the classes, joined back to all documents.
 
 Null, empty and blank texts: the empty set, linked with nothing. Fewer than five words: the whole sequence is the one
-shingle. Repeated rows of one id are one document if their sets agree; rows of one id with different sets keep apart
-but share the id in the result. Null ids: own rows, never linked. Empty table: no rows.
+shingle. Repeated rows of one id are one document if their sets agree; rows of one id with different sets are nodes of
+their own, linked each by its own set, that share the id in the result. Ids of any type that has an order; null ids: own
+rows, never linked. Very long texts are shingled whole, each in a block of its own. Ties of pivots: the smaller node.
+Other columns are not looked at. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.llm.common import as_bytes, blocks, cut, numbered, starts, stored
@@ -33,6 +36,8 @@ HASHES = BANDS * ROWS
 SHARE = 85
 #: Members of a bucket that are compared with one another in a task.
 BLOCK = 256
+#: Salts by which buckets meet their sizes; members of a bucket for a salt once sizes are known.
+SPREAD, SALT = 8, 256
 _RANDOM = np.random.default_rng(20240607)
 _A = _RANDOM.integers(0, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RANDOM.integers(0, 2**63, HASHES, np.uint64)
@@ -114,16 +119,19 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, shingles (sorted little-endian 64-bit hashes)."""
+    """node (id and set_key), shingles (sorted little-endian 64-bit hashes)."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch.column(1))
             for a, b in blocks(texts):
                 h, begin = shingles(texts[a:b])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([h[x:y].tobytes() for x, y in zip(begin[:-1], begin[1:], strict=True)], pa.binary())], ["id", "shingles"])
+                own = [h[x:y].tobytes() for x, y in zip(begin[:-1], begin[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([xxhash.xxh3_128_digest(x) for x in own], pa.binary()), pa.array(own, pa.binary())], ["id", "set_key", "shingles"])
 
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, shingles binary")
+    out = docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, set_key binary, shingles binary")
+    return out.select(F.struct("id", F.col("set_key").alias("key")).alias("node"), "shingles")
 
 
 def linked(x: bytes, y: bytes, share: int = SHARE) -> bool:
@@ -135,22 +143,23 @@ def linked(x: bytes, y: bytes, share: int = SHARE) -> bool:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
-    """The pairs (a, b) that are links on full sets."""
+    """The pairs (a, b) of nodes that are links on full sets."""
+    node = pairs.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [linked(x, y, share) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], ["a", "b"])
+            ok = pa.array([linked(x, y, share) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return joined.select("a", "b", "x", "y").mapInArrow(run, f"a {node}, b {node}")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node): alternating large-star and small-star until nothing changes."""
     now = cut(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct())
     seen = None
-    for _ in range(most_rounds):
+    while True:
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v"), F.col("m")).where("v > m").distinct()
@@ -164,13 +173,27 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
 
 
+def _salt(node: str = "node") -> Column:
+    """A member's salt in a bucket of n: one for each SALT members."""
+    return F.pmod(F.xxhash64(node), F.ceil(F.col("n") / SALT)).cast("int").alias("salt")
+
+
+def _salted(of_bucket: DataFrame) -> DataFrame:
+    """A row for each salt of a bucket: what all members of a bucket are joined with goes to many tasks where they are many."""
+    return of_bucket.withColumn("salt", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / SALT).cast("int") - 1))).drop("n")
+
+
 def _in_blocks(open_: DataFrame, share: int) -> DataFrame:
-    """Links between members of a bucket that are in different components; open_: bucket, id, component, signature, shingles, p (block), n_blocks."""
+    """Links between members of a bucket that are in different components; open_: bucket, n, node, component, signature, shingles.
+
+    Sets that are linked differ in size by the factor 100 / share at most, so a member meets those of its own class of
+    sizes and of the two next ones. A class of sizes of many members is dealt into blocks."""
     least_alike = share / 100 - 5 * (share / 100 * (1 - share / 100) / HASHES) ** 0.5
+    node = open_.schema["node"].dataType.simpleString()
 
     def run(own: pa.Table) -> pa.Table:
-        p, q = own.column("p").to_numpy(), own.column("q").to_numpy()
-        ids, comp, mine = own.column("id").to_numpy(), own.column("component").to_pylist(), own.column("own").to_numpy()
+        first = [own.column(c)[0].as_py() for c in ("b1", "p1", "b2", "p2")]
+        bins, block, comp = own.column("bin").to_numpy(), own.column("block").to_numpy(), numbered_nodes(own.column("component"))
         sign = np.frombuffer(b"".join(own.column("signature").to_pylist()), "<u4").reshape(-1, HASHES)
         sets = own.column("shingles").to_pylist()
         parent: dict[int, int] = {}
@@ -181,9 +204,9 @@ def _in_blocks(open_: DataFrame, share: int) -> DataFrame:
                 x = parent[x]
             return x
 
-        left = np.nonzero(mine == p)[0]
-        right = left if p[0] == q[0] else np.nonzero(mine == q)[0]
-        out: list[tuple[int, int]] = []
+        left = np.nonzero((bins == first[0]) & (block == first[1]))[0]
+        right = np.nonzero((bins == first[2]) & (block == first[3]))[0]
+        a_of, b_of = [], []
         for i in left.tolist():
             alike = (sign[right] == sign[i]).mean(axis=1)
             for k in np.argsort(-alike, kind="stable").tolist():
@@ -193,52 +216,71 @@ def _in_blocks(open_: DataFrame, share: int) -> DataFrame:
                 a, b = root(comp[i]), root(comp[j])
                 if a != b and linked(sets[i], sets[j], share):
                     parent[a] = b
-                    out.append((int(ids[i]), int(ids[j])))
-        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+                    a_of.append(i)
+                    b_of.append(j)
+        nodes = own.column("node")
+        return pa.table({"a": nodes.take(pa.array(a_of, pa.int64())), "b": nodes.take(pa.array(b_of, pa.int64()))})
+
+    size = F.floor(F.ln(F.octet_length("shingles") / 8) / F.lit(float(np.log(100 / (share - 1))))).cast("int")
+    rows = open_.withColumn("bin", size)
+    blocks_of = rows.groupBy("bucket", "bin").agg(F.first("n").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    # at most some hundred classes of sizes in a bucket
+    blocks_of = blocks_of.groupBy("bucket").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("bin", "k"))).alias("blocks"))
+    rows = rows.withColumn("salt", _salt()).join(_salted(blocks_of), ["bucket", "salt"])
+    count = lambda b: F.coalesce(F.try_element_at("blocks", b), F.lit(0))
+    up_to = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda q: q < n)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), count(F.col("bin"))).cast("int"))
+    meeting = lambda b1, p1, b2, p2: F.struct(b1.alias("b1"), p1.alias("p1"), b2.alias("b2"), p2.alias("p2"))
+    b, p = F.col("bin"), F.col("block")
+    meetings = F.concat(
+        F.transform(up_to(count(b)), lambda q: meeting(b, F.least(p, q), b, F.greatest(p, q))),
+        F.transform(up_to(count(b + 1)), lambda q: meeting(b, p, b + 1, q)),
+        F.transform(up_to(count(b - 1)), lambda q: meeting(b - 1, q, b, p)),
+    )
+    rows = rows.select("bucket", "node", "component", "signature", "shingles", "bin", "block", F.explode(meetings).alias("m")).select("bucket", "node", "component", "signature", "shingles", "bin", "block", "m.*")
+    return rows.groupBy("bucket", "b1", "p1", "b2", "p2").applyInArrow(run, f"a {node}, b {node}")
+
 
-    # each member goes to the pairs of blocks that its own block is in: as many rows as there are blocks
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    rows = open_.select("bucket", "id", "component", "signature", "shingles", F.col("p").alias("own"), other)
-    rows = rows.select("bucket", "id", "component", "signature", "shingles", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    return rows.groupBy("bucket", "p", "q").applyInArrow(run, "a bigint, b bigint")
+def numbered_nodes(column: pa.ChunkedArray) -> list[int]:
+    seen: dict = {}
+    return [seen.setdefault((x["id"], x["key"]), len(seen)) for x in column.to_pylist()]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE) -> DataFrame:
     """id, n_shingles, class_id (smallest id with the same set), component_id (smallest id reachable), kept."""
-    own = stored(features(docs, id_col, text_col).withColumn("_row", F.col(id_col).cast("bigint")).withColumn("_set", F.when(F.col("_row").isNotNull(), F.col("set_key"))))
+    own = stored(features(docs, id_col, text_col).select(F.col(id_col).alias("_row"), "n_shingles", "signature", F.when(F.col(id_col).isNotNull(), F.col("set_key")).alias("_set")))
     classes = own.where("_set is not null").groupBy("_set").agg(F.min("_row").alias("id"), F.first("signature").alias("signature"))
-    classes = stored(classes)
+    classes = stored(classes.select(F.struct("id", F.col("_set").alias("key")).alias("node"), "signature"))
 
     bands = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substring("signature", k * (4 * ROWS) + 1, F.lit(4 * ROWS)))).alias("band", "part")
-    member = classes.select("id", bands).select("id", F.xxhash64("band", "part").alias("bucket"))
-    sizes = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    member = stored(member.join(sizes, "bucket"))  # documents that are alone in their buckets end here
+    member = classes.select("node", bands).select("node", F.xxhash64("band", "part").alias("bucket")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int"))
+    sizes = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    member = stored(member.join(sizes, ["bucket", "salt"]).drop("salt"))  # documents that are alone in their buckets end here
     # the pivot: the member whose other buckets are the fullest, most likely the middle of its group
-    weight = member.groupBy("id").agg(F.sum("n").alias("w"))
-    pivots = member.join(weight, "id").groupBy("bucket").agg(F.min(F.struct((-F.col("w")).alias("w"), "id")).alias("p")).select("bucket", F.col("p.id").alias("a"))
-    pairs = member.join(pivots, "bucket").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    wanted = member.select("id").distinct()
-    named = docs.select(F.col(id_col).cast("bigint").alias("_id"), text_col)
-    sets = stored(sets_of(named.join(wanted, named["_id"] == wanted["id"], "left_semi"), "_id", text_col).groupBy("id").agg(F.first("shingles").alias("shingles")))
+    weight = member.groupBy("node").agg(F.sum("n").alias("w"))
+    pivots = member.join(weight, "node").groupBy("bucket").agg(F.first("n").alias("n"), F.min(F.struct((-F.col("w")).alias("w"), "node")).alias("p")).select("bucket", "n", F.col("p.node").alias("a"))
+    pairs = member.withColumn("salt", _salt()).join(_salted(pivots), ["bucket", "salt"]).where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    wanted = member.select("node").distinct()
+    named = docs.select(F.col(id_col).alias("_id"), text_col).join(wanted.select(F.col("node.id").alias("id")), F.col("_id") == F.col("id"), "left_semi")
+    # rows of one id may hold other texts too
+    sets = stored(sets_of(named, "_id", text_col).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
     links = cut(confirmed(pairs, sets, share))
     comp = cut(components(links))
 
-    state = member.join(comp, member["id"] == comp["node"], "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
+    state = member.join(comp, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
     # of a bucket of two, the only pair has been compared
-    still = state.where("n > 2").groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    left = state.join(still.select("bucket"), "bucket")
-    once = left.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"))
-    once = once.groupBy("n", "who").agg(F.min("bucket").alias("bucket"))  # buckets with the same members are compared once
-    left = left.join(once.select("bucket"), "bucket").withColumn("n_blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("p", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
-    left = left.join(classes.select("id", "signature"), "id").join(sets, "id")
+    still = state.where("n > 2").groupBy("bucket").agg(F.first("n").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("x < y")
+    still = still.groupBy("n", "who").agg(F.min("bucket").alias("bucket"))  # buckets with the same members are compared once
+    left = state.withColumn("salt", _salt()).join(_salted(still.select("bucket", "n")), ["bucket", "salt"]).drop("salt")
+    left = cut(left.join(classes, "node").join(sets, "node"))
     more = cut(_in_blocks(left, share))
     if not more.isEmpty():
         comp = cut(components(links.union(more)))
 
-    named_comp = classes.select("_set", "id").join(comp, F.col("id") == F.col("node"), "left").select(F.col("_set").alias("_key"), F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
+    named_comp = classes.join(comp, "node", "left").select(F.col("node.key").alias("_key"), F.col("node.id").alias("class_id"), F.coalesce("component", "node")["id"].alias("component_id"))
     out = own.join(named_comp, own["_set"] == named_comp["_key"], "left")
     return out.select(
-        id_col,
+        F.col("_row").alias(id_col),
         "n_shingles",
         F.coalesce("class_id", "_row").alias("class_id"),
         F.coalesce("component_id", "_row").alias("component_id"),

@@ -150,6 +150,7 @@ def test_near_duplicates_equal_brute_force(spark, odd, real):
 
 def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "SALT", 5)
     rng = random.Random(4)
     rows = family(rng, [f"c{i}" for i in range(300)], 50, 4, 0) + family(rng, [f"d{i}" for i in range(200)], 30, 3, 100)
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
@@ -162,10 +163,28 @@ def test_near_duplicates_odd_rows(spark, odd):
     assert minhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_different_sizes(spark, monkeypatch):
+    """Texts that are the beginning of one another: links join neighbouring sizes only, chains lead on."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    words = [f"c{i}" for i in range(400)]
+    rows = [(n, " ".join(words[:n])) for n in range(20, 400, 9)]
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_components(rows)
+
+
+def test_near_duplicates_of_one_id_with_two_texts_and_of_text_ids(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [("k1", a), ("k1", b), ("k2", a + " end"), ("k3", b + " end"), ("k4", "lone"), (None, a)]
+    docs = spark.createDataFrame(rows, "name string, body string").withColumn("doc_id", F.lit(1)).withColumn("node", F.lit(1)).withColumn("salt", F.lit(1))
+    got = sorted((r.name or "", r.component_id or "", r.kept) for r in minhash.near_duplicates(docs, "name", "body").collect())
+    assert got == [("", "", True), ("k1", "k1", True), ("k1", "k1", True), ("k2", "k1", False), ("k3", "k1", False), ("k4", "k4", True)]
+
+
 def test_components_of_a_long_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 499)], "a bigint, b bigint")
+    n = 10_000
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(n + 500, n + 499)], "a bigint, b bigint")
     got = {r.node: r.component for r in minhash.components(edges).collect()}
-    assert got == {i: 0 for i in range(1, 101)} | {500: 499}
+    assert got == {i: 0 for i in range(1, n + 1)} | {n + 500: n + 499}
 
 
 def test_chunks_resist_insertions_and_rebuild():
