@@ -1,12 +1,15 @@
 """Quality: a weak-label model over heuristic labellers, and a hashed linear scorer trained on its posteriors.
 
 Each labeller votes good, bad or nothing on a whole text. Votes are counted by pattern over all documents (at most
-3 ** 8 rows reach the driver); expectation-maximisation on these counts estimates the labellers' accuracies and the
-share of good texts, and gives each pattern its posterior. A linear model on hashed byte n-gram frequencies learns the
-posteriors from a bounded sample (SAMPLE documents with the smallest hash of the id) and scores every whole text.
-
-Null and empty texts get the votes of a text without words. Repeated rows: same result. A sample of one kind only:
-every score is that share. Empty table: no rows.
+3 ** LABELLERS rows reach the driver); expectation-maximisation on these counts estimates the labellers' accuracies and
+the share of good texts, and gives each pattern its posterior. It starts from texts without a bad vote as the good ones.
+A linear model on hashed byte n-gram frequencies learns the posteriors from a bounded sample (about SAMPLE rows, of any
+length, by a hash of id and text; the workers hash their n-grams, so no text reaches the driver) and scores every whole
+text.
+
+Null and empty texts get the votes of a text without words. Repeated rows: same result, learnt once. Very long texts
+are read whole. Ties: a score of THRESHOLD is kept. A sample of one kind only: every score is near that kind. Other
+columns are not looked at. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -21,16 +24,17 @@ from pyspark.sql import functions as F
 
 from lexspark.llm.common import as_bytes, blocks
 
-SAMPLE, HASHED = 3000, 1 << 16
+SAMPLE, HASHED, LABELLERS = 3000, 1 << 16, 9
 THRESHOLD = 0.5
 GOOD, BAD, NONE = 1, 0, 2
 _SYMBOLS = b"#$%&*+<=>@[]^_`{|}~\\"
+_MARKS = frozenset(_SYMBOLS + b"!?~")
 _DIGITS = b"0123456789"
 _CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def votes(text: bytes) -> tuple[int, ...]:
-    """Votes of the labellers: length, mean word, symbols, digits and capitals, repeated words, commonest word, repeated lines, sentence ends."""
+    """Votes of the labellers: length, mean word, symbols, digits and capitals, repeated words, commonest word, repeated lines, sentence ends, words of or ending in several marks."""
     words = text.split()
     n, size = len(words), max(1, len(text))
     count = Counter(words)
@@ -40,6 +44,7 @@ def votes(text: bytes) -> tuple[int, ...]:
     digits = 1 - len(text.translate(None, _DIGITS)) / size
     capitals = 1 - len(text.translate(None, _CAPITALS)) / size
     ends = sum(w[-1:] in (b".", b"!", b"?") for w in words)
+    marked = sum(w[-1] in _MARKS and (len(w) == 1 or w[-2] in _MARKS) for w in words)
     pick = lambda bad, good: BAD if bad else GOOD if good else NONE
     return (
         pick(n < 2, n >= 20),
@@ -50,13 +55,13 @@ def votes(text: bytes) -> tuple[int, ...]:
         pick(n >= 10 and max(count.values()) > 0.2 * n, n >= 10 and max(count.values()) < 0.12 * n),
         pick(len(lines) > 3 and len(set(lines)) < 0.7 * len(lines), len(set(lines)) == len(lines) > 0),
         pick(n >= 20 and ends < n / 80, ends > n / 40),
+        pick(n >= 5 and marked > 0.1 * n, marked < 0.02 * n),
     )
 
 
 def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of good for each pattern, and the labellers' tables P(vote | class) [labeller, class, vote]."""
-    good, bad = (patterns == GOOD).sum(axis=1), (patterns == BAD).sum(axis=1)
-    post = np.clip((good + 1 - 2.0 * bad) / (good + bad + 2) + 0.3, 0.05, 0.95)
+    post = np.where((patterns == BAD).any(axis=1), 0.05, 0.95)
     tables = np.zeros((patterns.shape[1], 2, 3))
     for _ in range(rounds):
         prior = np.clip((post * counts).sum() / counts.sum(), 0.01, 0.99)
@@ -85,8 +90,8 @@ def hashed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return rows, value / np.sqrt((value * value).sum())
 
 
-def fit_linear(texts: list[bytes], post: np.ndarray, epochs: int = 12) -> tuple[np.ndarray, float]:
-    data = [hashed(t) for t in texts]
+def fit_linear(data: list[tuple[np.ndarray, np.ndarray]], post: np.ndarray, epochs: int = 12) -> tuple[np.ndarray, float]:
+    """Weights and bias; data: rows and values of each text."""
     w, b, rng = np.zeros(HASHED), 0.0, np.random.default_rng(9)
     square = np.full(HASHED, 1e-4)
     for _ in range(epochs):
@@ -116,10 +121,23 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found.sort()
     post, _ = em(np.array([list(map(int, r.votes)) for r in found]), np.array([r.n for r in found], float))
     posterior = {r.votes: float(p) for r, p in zip(found, post, strict=True)}
-    sample = docs.select(text_col, id_col).where(F.length(text_col) <= 20_000).orderBy(F.xxhash64(id_col), id_col, F.xxhash64(text_col)).limit(SAMPLE).collect()
-    texts = [(r[0] or "").encode() for r in sample]
-    target = np.array([posterior["".join(map(str, votes(t)))] for t in texts])
-    known = spark.sparkContext.broadcast((posterior, *fit_linear(texts, target)))
+    n = sum(r.n for r in found)
+    # rows of one id and text are learnt once; the id's hash alone decides who is near the sample
+    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    near = F.pmod(key, F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / n))
+
+    def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+                rows, value = hashed(text)
+                own = "".join(map(str, votes(text)))
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([own]), pa.array([rows.astype("<u4").tobytes()], pa.binary()), pa.array([value.astype("<f4").tobytes()], pa.binary())], ["key", "votes", "at", "value"])
+
+    sample = docs.where(near).select(key.alias("key"), text_col).mapInArrow(learnt, "key bigint, votes string, at binary, value binary")
+    # about SAMPLE rows of at most HASHED numbers each
+    sample = sorted(sample.groupBy("key").agg(*[F.first(c).alias(c) for c in ("votes", "at", "value")]).collect())
+    data = [(np.frombuffer(r.at, "<u4").astype(np.int64), np.frombuffer(r.value, "<f4").astype(np.float64)) for r in sample]
+    known = spark.sparkContext.broadcast((posterior, *fit_linear(data, np.array([posterior[r.votes] for r in sample]))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         posterior, w, b = known.value
