@@ -2,33 +2,41 @@
 
 A window is `size` consecutive words of an item (an item of fewer words, but not none, is one window). A document is
 hit where all of a window's words stand in order, so the overlap that is needed is the whole window and its necessary
-prefix is one token: the rarest word, by its count over all documents. Documents join on that word; the positions
-bound the place where the window would begin; the words of the window are then compared one by one.
+prefix is one token: the rarest word, by the number of documents that hold it. Documents' places of such words join the
+windows on the word; the place in the text and the window's length bound where it would begin and end; its words are
+then compared one by one. Items and windows stay tables: neither passes the driver or is broadcast. A worker leaves out
+words by a bit table of BITS positions, the same size whatever the benchmark; what it lets pass wrongly the join ends.
 
-The items are dealt into blocks of bounded size; a block's windows go to every worker, whose task passes over its
-documents once. More than one block: one pass for each, the hits so far being kept in the shared folder.
+Texts are judged once for all their copies, by a digest. Two passes over the texts in Python (counts, places), one with
+Spark's functions (words of a text); what was found comes back by an equi join.
 
 Null text or text without words: no words, no hit. Items without words, and items whose id is null, take no part;
-rows of one item_id count as one item. Repeated rows are judged alike. Long texts stand alone in a block.
-Empty tables: no rows, or no hits.
+rows of one item_id count as one item. Repeated rows are judged alike. Words of equal rarity: the one that comes first
+in byte order. Very long texts are read whole, in a block of their own. Other columns stay; one that has the name of
+found_col is replaced. Empty tables: no rows, or no hits.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.llm.common import as_bytes, blocks, stored
 
 WINDOW = 8
-#: UTF-8 bytes of the items of a block; a block is what a worker holds and the driver passes on.
-BLOCK_ITEMS_BYTES = 8 << 20
+#: Positions of the table of bits of words; a power of 2.
+BITS = 1 << 22
+#: Words counted in a task before their counts leave it.
+COUNTED = 200_000
 #: Lower-cases A-Z and makes a space of every ASCII character that is not a letter or digit.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -39,108 +47,131 @@ def windows_of(words: list[bytes], size: int = WINDOW) -> set[tuple[bytes, ...]]
     return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
 
 
-def word_counts(docs: DataFrame, text_col: str, wanted: frozenset[bytes]) -> dict[bytes, int]:
-    """In how many documents each wanted word stands; one row for each word and task leaves the workers."""
+def _windows(items: DataFrame, size: int) -> DataFrame:
+    """item, window (its words with a space between), each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter = Counter()
         for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                count.update(wanted.intersection(words_of(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
-
-    found = docs.select(text_col).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r.word): r.n for r in found.collect()}
-
-
-class Index:
-    """Windows by their rarest word: (place of the word in the window, the window, its items' numbers)."""
-
-    def __init__(self, items: list[tuple[str, list[bytes]]], counts: dict[bytes, int], size: int):
-        owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        for item, words in items:
-            for window in windows_of(words, size):
-                owners[window].add(item)
-        self.by_word: dict[bytes, list] = defaultdict(list)
-        for window, own in owners.items():
-            # rarest by documents, then by the word itself
-            at = min(range(len(window)), key=lambda i: (counts.get(window[i], 0), window[i]))
-            self.by_word[window[at]].append((at, window, tuple(sorted(own))))
-        self.by_word = dict(self.by_word)
-        self.prefixes = frozenset(self.by_word)
-
-    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Spans of words that occurrences of windows cover, and the items."""
-        if self.prefixes.isdisjoint(words):
-            return [], set()
-        spans, items, n = set(), set(), len(words)
-        for i, word in enumerate(words):
-            for at, window, own in self.by_word.get(word, ()):
-                start = i - at
-                if start >= 0 and start + len(window) <= n and tuple(words[start : start + len(window)]) == window:
-                    spans.add((start, start + len(window)))
-                    items.update(own)
-        return merged(sorted(spans)), items
-
-
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in spans:
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
-FOUND = pa.struct([("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+            own = [[b" ".join(w) for w in windows_of(words_of(t), size)] for t in as_bytes(batch.column(1))]
+            at = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([w.decode() for x in own for w in x], pa.string())], ["item", "window"])
+
+    return items.mapInArrow(run, "item string, window string").distinct()
+
+
+def _bits(words: DataFrame):
+    """The table of bits of a column of words, broadcast: BITS / 8 bytes; at most BITS numbers reach the driver."""
+
+    size = BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(size, bool)
+        for batch in batches:
+            seen[[zlib.crc32(w.encode()) & (size - 1) for w in batch.column(0).to_pylist()]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.nonzero(seen)[0], pa.int32())], ["at"])
+
+    found = words.mapInArrow(run, "at int").distinct().toArrow().column("at").to_numpy()
+    bits = np.zeros(size, bool)
+    bits[found] = True
+    return words.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+
+class Filter:
+    """Of a block of texts, the words whose bit is set."""
+
+    def __init__(self, packed: np.ndarray):
+        self.bits = np.unpackbits(packed).astype(bool).tobytes()
+
+    def of(self, lists: list[list[bytes]]) -> frozenset[bytes]:
+        bits, crc, last = self.bits, zlib.crc32, len(self.bits) - 1
+        return frozenset(w for w in set().union(*lists) if bits[crc(w) & last])
+
+
+def _counts(docs: DataFrame, text_col: str, bits) -> DataFrame:
+    """word, n: in how many documents it stands, of words whose bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep, count = Filter(bits.value), Counter()
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([w.decode() for w in count], pa.string()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
+        for batch in batches:
+            texts = as_bytes(batch.column(0))
+            for a, b in blocks(texts):
+                lists = [words_of(t) for t in texts[a:b]]
+                wanted = keep.of(lists)
+                for words in lists:
+                    count.update(wanted.intersection(words))
+                if len(count) > COUNTED:
+                    yield out()
+                    count.clear()
+        yield out()
+
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _places(docs: DataFrame, text_col: str, bits, size: int) -> DataFrame:
+    """key (of a text), word, pos, near (the words up to size - 1 before and after), off (the word's place in near), each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = Filter(bits.value)
+        for batch in batches:
+            texts = as_bytes(batch.column(1))
+            for a, b in blocks(texts):
+                lists = [words_of(t) for t in texts[a:b]]
+                wanted = keep.of(lists)
+                row, word, pos, near, off = [], [], [], [], []
+                for k, words in enumerate(lists, a):
+                    if wanted.isdisjoint(words):
+                        continue
+                    for i in [i for i, w in enumerate(words) if w in wanted]:
+                        first = max(0, i - size + 1)
+                        row.append(k)
+                        word.append(words[i].decode())
+                        pos.append(i)
+                        near.append(b" ".join(words[first : i + size]).decode())
+                        off.append(i - first)
+                if row:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(word), pa.array(pos, pa.int64()), pa.array(near), pa.array(off, pa.int32())], ["key", "word", "pos", "near", "off"])
+
+    return docs.select(_key(text_col).alias("key"), F.col(text_col).cast("string")).mapInArrow(run, "key string, word string, pos bigint, near string, off int").distinct()
+
+
+def _key(text_col: str):
+    return F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 FOUND_SQL = "struct<n_words:bigint,starts:array<bigint>,ends:array<bigint>,items:array<string>>"
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, found_col: str = "found", block_bytes: int = BLOCK_ITEMS_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, found_col: str = "found") -> DataFrame:
     """docs with found_col: n_words, the covered spans of words (starts, ends) and the ids of items that occur, as strings."""
-    spark = docs.sparkSession
     items = items.select(F.col(item_id).cast("string").alias("item"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text")).where("item is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-total // block_bytes))
-    out = docs
-    for k in range(n_blocks):
-        block = [(r.item, words_of(r.text.encode())) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == k).toLocalIterator()]
-        counts = word_counts(docs, text_col, frozenset(w for _, words in block for w in words))
-        index = spark.sparkContext.broadcast(Index(block, counts, size))
-        out = _pass(out, text_col, found_col, index)
-        if n_blocks > 1:
-            out = stored(out)
-    return out
-
-
-def _pass(docs: DataFrame, text_col: str, found_col: str, index) -> DataFrame:
-    again = found_col in docs.columns
-    names = [c for c in docs.columns if c != found_col]
-    at = names.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = index.value
-        for whole in batches:
-            texts = as_bytes(whole.column(at))
-            for a, b in blocks(texts, 8 << 20):
-                batch = whole.slice(a, b - a)
-                before = batch.column(batch.num_columns - 1).to_pylist() if again else None
-                rows = []
-                for i, text in enumerate(texts[a:b]):
-                    words = words_of(text)
-                    spans, items = own.hits(words)
-                    if before:
-                        x = before[i]
-                        spans = merged(sorted([*spans, *zip(x["starts"], x["ends"], strict=True)]))
-                        items.update(x["items"])
-                    rows.append({"n_words": len(words), "starts": [s[0] for s in spans], "ends": [s[1] for s in spans], "items": sorted(items)})
-                columns = batch.columns[: -1 if again else None]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, FOUND)], [*names, found_col])
-
-    rest = [f for f in docs.schema.fields if f.name != found_col]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), f"`{found_col}` {FOUND_SQL}"])
-    return docs.select(*[f"`{f.name}`" for f in rest], *([found_col] if again else [])).mapInArrow(run, schema)
+    owned = stored(_windows(items, size))
+    each = owned.select("window").distinct().select("window", F.posexplode(F.split("window", " ")).alias("at", "word"))
+    counts = _counts(docs, text_col, _bits(each.select("word")))
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at")).alias("r")
+    windows = stored(each.join(counts, "word", "left").groupBy("window").agg(rarest, F.count("*").cast("int").alias("size")).select("window", F.col("r.word").alias("word"), F.col("r.at").alias("at"), "size"))
+
+    places = _places(docs, text_col, _bits(windows.select("word")), size)
+    joined = places.join(windows, "word").where("off >= at and pos - off >= 0")
+    same = F.array_join(F.slice(F.split("near", " "), F.col("off") - F.col("at") + 1, F.col("size")), " ") == F.col("window")
+    hits = stored(joined.where(same).select("key", (F.col("pos") - F.col("at")).alias("start"), (F.col("pos") - F.col("at") + F.col("size")).alias("end"), "window"))
+
+    # spans that touch or overlap are one
+    before = Window.partitionBy("key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    up_to = Window.partitionBy("key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    spans = hits.select("key", "start", "end").distinct().withColumn("new", F.coalesce((F.col("start") > F.max("end").over(before)).cast("int"), F.lit(1)))
+    spans = spans.withColumn("span", F.sum("new").over(up_to)).groupBy("key", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    own = hits.select("key", "window").distinct().join(owned, "window").select("key", "item").distinct().groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    found = stored(spans.join(own, "key").select(F.col("key").alias("_decon_key"), "spans", "items"))
+
+    kept = [f"`{c}`" for c in docs.columns if c != found_col]
+    n_words = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("bigint")
+    keyed = docs.select(*kept, n_words.alias("_decon_n"), _key(text_col).alias("_decon_own"))
+    out = keyed.join(found, keyed["_decon_own"] == found["_decon_key"], "left")
+    places_of = lambda name: F.coalesce(F.transform("spans", lambda s: s[name]), F.array().cast("array<bigint>"))
+    shown = F.struct(keyed["_decon_n"].alias("n_words"), places_of("start").alias("starts"), places_of("end").alias("ends"), F.coalesce(found["items"], F.array().cast("array<string>")).alias("items")).cast(FOUND_SQL)
+    return out.select(*[keyed[c] for c in docs.columns if c != found_col], shown.alias(found_col))
 
 
 def report(found: DataFrame, id_col: str = "doc_id", found_col: str = "found", least_items: int = 2) -> DataFrame:

@@ -78,12 +78,14 @@ def brute_hits(text, items, size=8):
     return len(own), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(found) >= 2
 
 
-@pytest.mark.parametrize("block_bytes", [8 << 20, 3000])
-def test_decontamination_equals_brute_force(spark, odd, real, block_bytes):
+@pytest.mark.parametrize("bits", [1 << 22, 1 << 12])
+def test_decontamination_equals_brute_force(spark, odd, real, bits, monkeypatch):
+    """With few bits every word passes the table, and the join alone decides."""
+    monkeypatch.setattr(decontam, "BITS", bits)
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [(900, None), (901, ""), (902, "one two three"), (902, "w1 w2 w3 w4 w5 w6 w7 w8 w9"), (902, "one two three"), (None, "w1 w2 w3 w4 w5 w6 w7 w8 w9")]
     items = spark.createDataFrame(bench, "item_id bigint, text string")
     docs = odd.select("doc_id", "text").union(real.select("doc_id", "text").limit(60)).union(real.select("doc_id", "text").where(F.col("text").rlike("(?i)that and onesen|eaea ndorea")))
-    got = sorted(map(str, decontam.report(decontam.decontaminate(docs, items, block_bytes=block_bytes)).collect()))
+    got = sorted(map(str, decontam.report(decontam.decontaminate(docs, items)).collect()))
     kept = [b for b in bench if b[0] is not None]
     from pyspark.sql import Row
 
@@ -93,11 +95,12 @@ def test_decontamination_equals_brute_force(spark, odd, real, block_bytes):
 
 def test_decontamination_keeps_other_columns(odd, spark):
     items = spark.createDataFrame([(1, "one two three")], "item_id bigint, text string")
-    out = decontam.decontaminate(odd.drop("found"), items)
-    assert out.columns == ["doc_id", "text", "source", "a", "found"]
-    assert out.where("size(found.items) > 0").count() == 4
-    assert decontam.decontaminate(odd.drop("found"), items.limit(0)).where("size(found.items) > 0").count() == 0
-    assert decontam.decontaminate(odd.drop("found").limit(0), items).count() == 0
+    docs = odd.withColumn("key", F.lit(1)).withColumn("word", F.lit("w")).withColumn("n", F.lit(2))
+    out = decontam.decontaminate(docs, items)  # `found` is there already, as a text
+    assert out.columns == ["doc_id", "text", "source", "a", "key", "word", "n", "found"]
+    assert out.count() == docs.count() and out.where("size(found.items) > 0").count() == 4
+    assert decontam.decontaminate(odd, items.limit(0)).where("size(found.items) > 0").count() == 0
+    assert decontam.decontaminate(odd.limit(0), items).count() == 0
 
 
 def brute_components(rows, share=85):
