@@ -2,14 +2,17 @@
 
 A text's bytes are cut after every byte at which the gear hash of the last 32 bytes has its top bits zero (at least
 `least` bytes after the last cut). Cuts follow the content, so an insertion moves only the chunks that it touches.
-Chunks are de-duplicated by a 128-bit digest: the first occurrence, by document id and place, stays; every other is a
-duplicate. Digests are counted with partial sums before the shuffle; only digests seen more than once are joined with
-the chunks, an equi join that adaptive execution splits where one digest is hot.
-
-Null and empty texts: no chunks. Rows that share an id are one document's: their chunks count together, and where they
-start at the same byte the first occurrence is all of them. A null id is an id and comes first. Chunks of under
-`least` bytes (short texts, ends) are chunks too. The query counts every chunk and joins neighbouring duplicates; only
-joined runs of under SHORTEST bytes that are not the whole text are left out. Empty table: no rows.
+Chunks are made once and written; they are de-duplicated by a 128-bit digest: the first occurrence, by document id and
+place, stays; every other is a duplicate. Digests are counted with partial sums before the shuffle; only digests seen
+more than once, a table of their own, are joined with the chunks, an equi join that adaptive execution splits where one
+digest is hot. Duplicates that touch are one run; a run counts from SHORTEST bytes on, or where it is the whole text:
+single chunks of some 50 bytes repeat by chance of wording, a passage of 50 words does not.
+
+Null and empty texts: no chunks. Rows of one id and text are repeats of one document and get the same result; rows of
+one id with other texts are documents of their own, ordered by place alone where they hold the same chunk at the same
+byte. A null id is an id and comes first. Chunks of under `least` bytes (short texts, ends) are chunks too. Very long
+texts are chunked whole; a text's runs are joined in order by a window over its duplicates. Other columns stay in
+cleaned(), and are not looked at elsewhere. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -19,16 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import as_bytes, blocks
+from lexspark.llm.common import as_bytes, blocks, stored
 
 #: Mean distance of cuts is 2 ** BITS + LEAST bytes: a passage of 50 words holds several whole chunks.
 BITS, LEAST = 5, 16
-#: Runs of duplicates shorter than this don't count: short words and line ends repeat everywhere. As the default of
-#: `shortest` it leaves out single chunks, also inside a run.
-SHORTEST = 24
+#: Bytes of a run of duplicates that counts.
+SHORTEST = 96
 _GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=4).digest() for b in range(256)), "<u4").copy()
 
 
@@ -51,13 +53,17 @@ def cuts(text: bytes, bits: int = BITS, least: int = LEAST) -> list[int]:
     return [*out, n]
 
 
+def _key(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, least: int = LEAST) -> DataFrame:
-    """A row for each chunk: id, begin, size (bytes), digest."""
+    """A row for each chunk: id, key (a hash of the text), begin, size (bytes), digest."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(1))
+            texts = as_bytes(batch.column(2))
             for a, b in blocks(texts, 4 << 20):
                 row, begin, size, digest = [], [], [], []
                 for i, text in enumerate(texts[a:b], a):
@@ -69,58 +75,88 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits
                         size.append(e - last)
                         last = e
                     row += [i] * len(ends)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(begin, pa.int64()), pa.array(size, pa.int32()), pa.array(digest, pa.binary())], [id_col, "begin", "size", "digest"])
+                at = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(begin, pa.int64()), pa.array(size, pa.int32()), pa.array(digest, pa.binary())], ["id", "key", "begin", "size", "digest"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, begin bigint, size int, digest binary")
+    return docs.select(F.col(id_col).alias("id"), _key(text_col).alias("key"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, key bigint, begin bigint, size int, digest binary")
 
 
-def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST) -> DataFrame:
-    """A row for each duplicate chunk: id, begin, size, first_id, copies."""
-    own = chunks(docs, id_col, text_col).where(F.col("size") >= shortest)
-    seen = own.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct(F.col(id_col).alias("id"), "begin")).alias("first")).where("copies > 1")
-    found = own.join(seen, "digest").where(~(F.col(id_col).eqNullSafe(F.col("first.id")) & (F.col("begin") == F.col("first.begin"))))
-    return found.select(id_col, "begin", "size", F.col("first.id").alias("first_id"), "copies")
+def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each place of a document that holds a duplicate chunk: id, key, begin, size, first_id, copies."""
+    own = stored(chunks(docs, id_col, text_col))
+    seen = stored(own.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("id", "begin")).alias("first")).where("copies > 1"))
+    found = own.join(seen, "digest").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("begin") == F.col("first.begin"))))
+    return found.select("id", "key", "begin", "size", F.col("first.id").alias("first_id"), "copies").distinct()
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST, least_run: int = 0) -> DataFrame:
-    """A row for each id: n_bytes, dup_chunks, dup_bytes, longest_dup (bytes of the longest run of duplicates) and spans (begin, end of each run).
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST) -> DataFrame:
+    """A row for each row of docs: id, n_bytes, dup_chunks, dup_bytes, longest_dup (bytes of the longest run of duplicates) and spans (begin, end of each run)."""
+    return _with_runs(docs.select(F.col(id_col).alias("_id"), _key(text_col).alias("_key"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint").alias("n_bytes")), duplicates(docs, id_col, text_col), shortest).select(
+        F.col("_id").alias(id_col),
+        "n_bytes",
+        _total("chunks").alias("dup_chunks"),
+        _total("bytes").alias("dup_bytes"),
+        _spans().alias("spans"),
+        F.coalesce(F.array_max(F.transform("_runs", lambda r: r["end"] - r["begin"])), F.lit(0)).cast("bigint").alias("longest_dup"),
+    )
 
-    Chunks under `shortest` bytes are no duplicates; runs under `least_run` bytes count only where they are the whole text.
-    """
-    found = duplicates(docs, id_col, text_col, shortest)
-    runs = found.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("begin", (F.col("begin") + F.col("size")).alias("end")))).alias("own"))
-    runs = runs.select(F.col(id_col).alias("_id"), _joined(F.col("own")).alias("runs"))
-    sizes = docs.groupBy(id_col).agg(F.max(F.coalesce(F.octet_length(text_col), F.lit(0))).cast("bigint").alias("n_bytes"))
-    out = sizes.join(runs, sizes[id_col].eqNullSafe(runs["_id"]), "left").drop("_id")
-    kept = F.filter(F.coalesce("runs", F.array().cast(f"array<{_RUN}>")), lambda r: (r["end"] - r["begin"] >= least_run) | ((r["begin"] == 0) & (r["end"] == F.col("n_bytes"))))
-    sums = lambda name: F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r[name])
-    out = out.withColumn("runs", kept).select(id_col, "n_bytes", sums("chunks").alias("dup_chunks"), sums("bytes").alias("dup_bytes"), F.transform("runs", lambda r: F.struct(r["begin"].alias("begin"), r["end"].alias("end"))).alias("spans"))
-    return out.withColumn("longest_dup", F.coalesce(F.array_max(F.transform("spans", lambda s: s["end"] - s["begin"])), F.lit(0)).cast("bigint"))
 
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST) -> DataFrame:
+    """docs without the runs of duplicates; first occurrences stay. Cuts never split a character."""
+    own = docs.select("*", F.col(id_col).alias("_id"), _key(text_col).alias("_key"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint").alias("n_bytes_"))
+    found = _with_runs(own.withColumnRenamed("n_bytes_", "_n_bytes"), duplicates(docs, id_col, text_col), shortest, "_n_bytes")
+    shown = list(docs.columns)
+    at = shown.index(text_col)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
-_RUN = "struct<begin:bigint,end:bigint,chunks:bigint,bytes:bigint>"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            out = [remove(t.encode(), [(x["begin"], x["end"]) for x in s]).decode() if s else t for t, s in zip(texts, spans, strict=True)]
+            columns = batch.columns[:-1]
+            columns[at] = pa.array(out, batch.column(at).type)
+            yield pa.RecordBatch.from_arrays(columns, shown)
+
+    return found.select(*[f"`{c}`" for c in shown], _spans().alias("_spans")).mapInArrow(run, schema)
 
 
-def _joined(spans):
-    """Neighbouring spans, in order, as one, with the number and the bytes of its chunks."""
-    run = lambda begin, end, chunks, size: F.struct(begin.alias("begin"), end.alias("end"), chunks.alias("chunks"), size.alias("bytes"))
-    zero, one = (F.lit(n).cast("bigint") for n in (0, 1))
-    empty = F.struct(F.array().cast(f"array<{_RUN}>").alias("done"), run(zero - 1, zero - 1, zero, zero).alias("now"))
-    last = lambda s: F.when(s["now"]["begin"] < 0, s["done"]).otherwise(F.concat(s["done"], F.array(s["now"])))
+def _spans():
+    return F.transform("_runs", lambda r: F.struct(r["begin"].alias("begin"), r["end"].alias("end")))
 
-    def step(s, x):
-        now, size = s["now"], x["end"] - x["begin"]
-        # rows of one id may hold the same place more than once
-        longer = F.struct(s["done"].alias("done"), run(now["begin"], F.greatest(now["end"], x["end"]), now["chunks"] + 1, now["bytes"] + size).alias("now"))
-        return F.when(x["begin"] <= now["end"], longer).otherwise(F.struct(last(s).alias("done"), run(x["begin"], x["end"], one, size).alias("now")))
 
-    return F.aggregate(spans, empty, step, last)
+def _total(name: str):
+    return F.aggregate("_runs", F.lit(0).cast("bigint"), lambda n, r: n + r[name])
+
+
+def _with_runs(own: DataFrame, found: DataFrame, shortest: int, size_col: str = "n_bytes") -> DataFrame:
+    """own (with _id, _key and the size in bytes) and _runs: of neighbouring duplicates, in order, with the number and the bytes of their chunks."""
+    by = ["id", "key"]
+    found = found.withColumn("end", F.col("begin") + F.col("size"))
+    before = Window.partitionBy(*by).orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
+    up_to = Window.partitionBy(*by).orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("new", F.coalesce((F.col("begin") > F.max("end").over(before)).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(up_to))
+    runs = found.groupBy(*by, "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.count("*").alias("chunks"), F.sum("size").cast("bigint").alias("bytes"))
+    # a run that is the whole text is told by its document's size
+    runs = runs.where((F.col("end") - F.col("begin") >= shortest) | (F.col("begin") == 0))
+    runs = runs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("begin", "end", "chunks", "bytes"))).alias("_found"))
+    out = own.join(runs, own["_id"].eqNullSafe(runs["id"]) & (own["_key"] == runs["key"]), "left")
+    whole = F.filter(F.coalesce("_found", F.array().cast(f"array<{_RUN}>")), lambda r: (r["end"] - r["begin"] >= shortest) | (r["end"] == F.col(size_col)))
+    return out.select(*[own[c] for c in own.columns], whole.alias("_runs"))
+
+
+_RUN = "struct<begin:bigint,end:bigint,chunks:bigint,bytes:bigint>"
 
 
 def remove(text: bytes, spans: list[tuple[int, int]]) -> bytes:
-    """A text without the given spans."""
+    """A UTF-8 text without the given spans; a character that a span holds in part stays."""
+    inside = lambda i: i < len(text) and text[i] & 0xC0 == 0x80
     out, last = [], 0
     for a, b in spans:
-        out.append(text[last:a])
-        last = b
+        while inside(a):
+            a += 1
+        while inside(b):
+            b -= 1
+        if a < b:
+            out.append(text[last:a])
+            last = b
     return b"".join([*out, text[last:]])

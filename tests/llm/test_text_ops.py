@@ -200,26 +200,68 @@ def test_chunks_resist_insertions_and_rebuild():
     assert substring.cuts(b"") == [] and substring.cuts(b"ab") == [2]
 
 
+def plain_cuts(text, bits=substring.BITS, least=substring.LEAST):
+    """Byte by byte: the hash moves on by a shift and the next byte's number."""
+    h = last = 0
+    out = []
+    for p, c in enumerate(text, 1):
+        h = (h << 1) + int(substring._GEAR[c]) & 0xFFFFFFFF
+        if h < 1 << (32 - bits) and p - last >= least and p < len(text):
+            out.append(p)
+            last = p
+    return [*out, len(text)] if text else []
+
+
+def plain_runs(docs):
+    """Of (id, text): the size and the runs that count."""
+    places = defaultdict(list)
+    for i, t in docs:
+        last = 0
+        for e in plain_cuts(t):
+            places[t[last:e]].append((i, last, e))
+            last = e
+    found = defaultdict(set)
+    for own in places.values():
+        first = min(own)[:2]
+        for i, a, e in own:
+            if (i, a) != first:
+                found[i].add((a, e))
+    out = {}
+    for i, t in docs:
+        runs = []
+        for a, e in sorted(found[i]):
+            if runs and runs[-1][1] == a:
+                runs[-1] = (runs[-1][0], e)
+            else:
+                runs.append((a, e))
+        out[i] = (len(t), [r for r in runs if r[1] - r[0] >= substring.SHORTEST or r == (0, len(t))])
+    return out
+
+
 def test_substring_deduplicate_equals_plain(spark, odd, real):
     passage = " ".join(f"passage{i * i % 101}" for i in range(55))
     extra = [(9001 + i, f"{'x' * i} own{i} text {passage} end{i * 7}", None, None, None) for i in range(4)]
     docs = odd.where("doc_id <> 7").unionByName(spark.createDataFrame(extra, DOCS)).select("doc_id", "text").union(real.select("doc_id", "text").where("doc_id > 20"))
-    seen, want = set(), {}
-    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
-        t, spans, last = (r.text or "").encode(), [], 0
-        for e in substring.cuts(t):
-            if e - last >= substring.SHORTEST:
-                if t[last:e] in seen:
-                    spans = spans[:-1] + [(spans[-1][0], e)] if spans and spans[-1][1] == last else [*spans, (last, e)]
-                seen.add(t[last:e])
-            last = e
-        want[r.doc_id] = (len(t), spans)
+    want = plain_runs([(r.doc_id, (r.text or "").encode()) for r in docs.collect()])
     got = {r.doc_id: (r.n_bytes, [(s.begin, s.end) for s in r.spans]) for r in substring.deduplicate(docs).collect()}
     assert got == want
     assert all(got[9001 + i][1] for i in (1, 2, 3)) and not got[9001][1]
-    rest = substring.remove(extra[2][1].encode(), got[9003][1])
-    assert rest.startswith(b"xx own2") and rest.endswith(b"end14") and len(rest) < 350
-    assert substring.deduplicate(odd.limit(0)).count() == 0 and substring.deduplicate(odd).count() == 9
+    left = {r.doc_id: r.text for r in substring.cleaned(docs).collect()}
+    assert left[9001] == extra[0][1] and left[9003].startswith("xx own2") and left[9003].endswith("end14") and len(left[9003]) < 350
+    assert left[1] is None and left[2] == "" and left[4] != "" and left[5] == ""  # 5 is a copy of 4
+    assert all(r.text is None or len(left[r.doc_id].encode()) >= want[r.doc_id][0] - sum(b - a for a, b in want[r.doc_id][1]) for r in docs.collect())
+
+
+def test_substring_odd_rows(spark, odd):
+    assert substring.deduplicate(odd.limit(0)).count() == 0 and substring.deduplicate(odd).count() == odd.count()
+    named = odd.withColumn("id", F.lit(1)).withColumn("key", F.lit(1)).withColumn("begin", F.lit(1)).withColumn("n_bytes", F.lit(1))
+    assert substring.cleaned(named).columns == named.columns and substring.cleaned(named).count() == odd.count()
+    long = "é漢字か😀" * 60
+    rows = [(1, "a " + long), (2, "b" + long), (3, "cc" + long)]
+    for r in substring.cleaned(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        assert r.text in dict(rows)[r.doc_id] or r.doc_id > 1  # whole characters, or decoding would have failed
+    many = [(1, "line of a text that comes again and again, each time the same words in it. " * 3000), (2, "x")]
+    assert substring.deduplicate(spark.createDataFrame(many, "doc_id bigint, text string")).where("longest_dup > 100000").count() == 1
 
 
 def test_substring_exact_copy_is_one_span(spark, tmp_path):
