@@ -20,12 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one on a local
+    session, and an error on a cluster, whose executors could not see it."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
         at = sc.getCheckpointDir()
         if at is None:
+            if not (sc.master or "").startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexspark-"))
             at = sc.getCheckpointDir()
     elif sc.getCheckpointDir() is None:

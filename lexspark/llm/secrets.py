@@ -8,7 +8,9 @@ findings, and the driver, which sees at most TREES * 2 ** DEPTH * features * BIN
 as nested conditions. labelled_findings() makes labelled findings from rules; others may be given.
 
 Everything about a candidate comes from its own document, so there is no shuffle in a scan. Null and empty texts: no
-findings. Repeated rows: findings of each. Very long texts: one pass over their candidates. Empty table: no rows.
+findings. Repeated rows: findings of each. Very long texts: work in proportion to their length, whatever the number of
+their candidates. Ties: a score of THRESHOLD is a secret. Other columns stay in redact() and are not looked at in
+scan(). Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ TREES, DEPTH, BINS = 12, 6, 16
 FINDINGS = 150 * 42
 THRESHOLD = 0.4
 LEFT_CHARS, RIGHT_CHARS = 40, 16
+#: Candidates of a text whose places are summed together.
+BLOCK = 256
 #: Words whose letters speak against a secret.
 DICTIONARY = "example|sample|test|dummy|placeholder|your|null|none|todo|changeme|redacted|insert|here|user|name|file|path|page|index|image|version|release|build|http|https|www|html|content|static|assets|query"
 FEATURES = ("length", "transitions", "digits", "capitals", "hex", "distinct", "dictionary", "path", "secret_word", "assigned", "plain_word", "prefix", "number", "closed")
@@ -183,35 +187,75 @@ def probability(forest: list[dict[int, tuple]], f: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, (tree(t, 1) for t in forest)) / len(forest)
 
 
-def _candidates(text: Column) -> Column:
-    """Of a text with candidates: array of begin, text, left and right (characters beside it)."""
+def _let(value: Column, body) -> Column:
+    """body of a value that is worked out once; a lambda works out all but its own arguments anew for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _pieces(text: Column) -> tuple[Column, Column]:
+    """Of a text: gap (before a match), x (the match) and led (the characters of x before the candidate) of each match; what follows the last."""
     found, rest = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.split(text, CANDIDATE, -1)
     led = lambda x: F.length(F.concat(F.regexp_extract(x, CANDIDATE, 1), F.regexp_extract(x, CANDIDATE, 2)))
-    pieces = F.arrays_zip(F.transform(found, lambda x: F.struct(x.alias("x"), led(x).alias("led"))).alias("m"), F.slice(rest, 1, F.size(found)).alias("l"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins"))
-    begins = F.aggregate(pieces, start, lambda s, p: F.struct((s["at"] + F.length(p["l"]) + F.length(p["m"]["x"])).alias("at"), F.concat(s["begins"], F.array(s["at"] + F.length(p["l"]) + p["m"]["led"])).alias("begins")), lambda s: s["begins"])
-    value = lambda m: F.substring(m["x"], m["led"] + 1, F.length(m["x"]))
-    # neighbours come from the whole text, whatever other candidates stand there
-    left = lambda b: F.substring(text, F.greatest(b - LEFT_CHARS, F.lit(0)) + 1, F.least(b, F.lit(LEFT_CHARS)))
-    right = lambda p, b: F.substring(text, b + F.length(p["m"]["x"]) - p["m"]["led"] + 1, F.lit(RIGHT_CHARS))
-    return F.zip_with(pieces, begins, lambda p, b: F.struct(b.alias("begin"), value(p["m"]).alias("text"), left(b).alias("left"), right(p, b).alias("right")))
+    return F.zip_with(F.slice(rest, 1, F.size(found)), found, lambda gap, x: F.struct(gap.alias("gap"), x.alias("x"), led(x).alias("led"))), F.try_element_at(rest, F.lit(-1))
+
+
+def _begins(pieces: Column) -> Column:
+    """Where each candidate begins in the text: running sums in blocks, as appending to one long array would copy it each time."""
+    return _let(pieces, _sums)
+
+
+def _sums(pieces: Column) -> Column:
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("own"))
+    add = lambda s, p: F.struct((s["at"] + F.length(p["gap"]) + F.length(p["x"])).alias("at"), F.concat(s["own"], F.array(s["at"] + F.length(p["gap"]) + p["led"])).alias("own"))
+    last = F.greatest(F.ceil(F.size(pieces) / BLOCK).cast("int") - 1, F.lit(0))
+    return _let(F.transform(F.sequence(F.lit(0), last), lambda b: F.aggregate(F.slice(pieces, b * BLOCK + 1, F.lit(BLOCK)), zero, add)), _shifted)
+
+
+def _shifted(blocks: Column) -> Column:
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("own"))
+    starts = F.aggregate(blocks, zero, lambda s, b: F.struct((s["at"] + b["at"]).alias("at"), F.concat(s["own"], F.array(s["at"])).alias("own")), lambda s: s["own"])
+    return F.flatten(F.zip_with(blocks, starts, lambda b, at: F.transform(b["own"], lambda x: x + at)))
+
+
+def _candidates(pieces: Column, tail: Column) -> Column:
+    """Array of text, left and right (the characters beside it, whatever other candidates stand there), in order."""
+    # a match has three characters at least: so many pieces hold all that is wanted
+    back, ahead = 2 * (LEFT_CHARS // 3 + 1), 2 * (RIGHT_CHARS // 3 + 1)
+
+    def all_of(x: Column) -> Column:
+        before = lambda i: F.array_join(F.slice(x["ends"], F.greatest(2 * i + 1 - back, F.lit(1)), F.least(2 * i + 1, F.lit(back + 1))), "")
+        after = lambda i: F.array_join(F.slice(x["heads"], 2 * i + 3, F.lit(ahead)), "")
+        lead = lambda p: F.substring(p["x"], F.lit(1), p["led"])
+        return F.transform(x["pieces"], lambda p, i: F.struct(F.substring(p["x"], p["led"] + 1, F.length(p["x"])).alias("text"), F.substring(F.concat(before(i), lead(p)), -LEFT_CHARS, LEFT_CHARS).alias("left"), F.substring(after(i), 1, RIGHT_CHARS).alias("right")))
+
+    def sides(x: Column) -> Column:
+        flat = F.concat(F.flatten(F.transform(x["pieces"], lambda p: F.array(p["gap"], p["x"]))), F.array(x["tail"]))
+        return _let(F.struct(x["pieces"].alias("pieces"), F.transform(flat, lambda y: F.substring(y, -LEFT_CHARS, LEFT_CHARS)).alias("ends"), F.transform(flat, lambda y: F.substring(y, 1, RIGHT_CHARS)).alias("heads")), all_of)
+
+    return _let(F.struct(pieces.alias("pieces"), tail.alias("tail")), sides)
 
 
 def scan(docs: DataFrame, forest: list[dict[int, tuple]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each candidate: id, begin, length, sha256, score, secret."""
-    some = docs.select(F.col(id_col), F.col(text_col).alias("_text")).where(F.col("_text").rlike(CANDIDATE))
-    rows = some.select(id_col, F.explode(_candidates(F.col("_text"))).alias("c"))
-    rows = rows.select(id_col, "c", *[x.alias(f"f{k}") for k, x in enumerate(features(F.col("c.text"), F.col("c.left"), F.col("c.right")))])
+    some = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.col("_text").rlike(CANDIDATE))
+    pieces, tail = _pieces(F.col("_text"))
+    cut = some.select("_id", pieces.alias("pieces"), tail.alias("tail"))
+    own = F.arrays_zip(_begins(F.col("pieces")).alias("begin"), _candidates(F.col("pieces"), F.col("tail")).alias("c"))
+    rows = cut.select("_id", F.explode(own).alias("o")).select("_id", "o.begin", "o.c")
+    rows = rows.select("_id", "begin", "c", *[x.alias(f"f{k}") for k, x in enumerate(features(F.col("c.text"), F.col("c.left"), F.col("c.right")))])
     scored = rows.withColumn("score", F.round(probability(forest, [F.col(f"f{k}") for k in range(len(FEATURES))]), 6))
-    return scored.select(id_col, (F.col("c.begin")).cast("bigint").alias("begin"), F.length("c.text").cast("bigint").alias("length"), F.sha2("c.text", 256).alias("sha256"), "score", (F.col("score") >= THRESHOLD).alias("secret"))
+    return scored.select(F.col("_id").alias(id_col), F.col("begin").cast("bigint").alias("begin"), F.length("c.text").cast("bigint").alias("length"), F.sha2("c.text", 256).alias("sha256"), "score", (F.col("score") >= THRESHOLD).alias("secret"))
 
 
 def redact(docs: DataFrame, forest: list[dict[int, tuple]], text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs, each secret replaced by the mark; other texts as they are."""
+    """docs, each secret replaced by the mark; other texts, and other columns, as they are."""
     text = F.col(text_col)
-    known = F.transform(_candidates(text), lambda c: F.struct(c["begin"].alias("begin"), F.length(c["text"]).alias("n"), F.array(*features(c["text"], c["left"], c["right"])).alias("f")))
-    scored = F.transform(known, lambda c: F.struct(c["begin"].alias("begin"), c["n"].alias("n"), (F.round(probability(forest, [c["f"][k] for k in range(len(FEATURES))]), 6) >= THRESHOLD).alias("secret")))
-    found = F.filter(scored, lambda c: c["secret"])
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    parts = F.aggregate(found, start, lambda s, c: F.struct((c["begin"] + c["n"]).alias("at"), F.concat(s["parts"], F.array(F.substring(text, s["at"] + 1, c["begin"] - s["at"]), F.lit(mark))).alias("parts")), lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-    return docs.withColumn(text_col, F.when(text.rlike(CANDIDATE), parts).otherwise(text))
+
+    def shown(x: Column) -> Column:
+        known = F.transform(_candidates(x["pieces"], x["tail"]), lambda c: F.array(*features(c["text"], c["left"], c["right"])))
+        secret = F.transform(known, lambda f: F.round(probability(forest, [f[k] for k in range(len(FEATURES))]), 6) >= THRESHOLD)
+        parts = F.zip_with(x["pieces"], secret, lambda p, yes: F.concat(p["gap"], F.when(yes, F.concat(F.substring(p["x"], F.lit(1), p["led"]), F.lit(mark))).otherwise(p["x"])))
+        return F.concat(F.array_join(parts, ""), x["tail"])
+
+    pieces, tail = _pieces(text)
+    return docs.withColumn(text_col, F.when(text.rlike(CANDIDATE), _let(F.struct(pieces.alias("pieces"), tail.alias("tail")), shown)).otherwise(text))

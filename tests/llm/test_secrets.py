@@ -1,6 +1,9 @@
 """Secret scan: short, symbol-broken and letters-only secrets are candidates and leave the text; what only looks like them stays."""
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from lexspark.llm import secrets
 
@@ -34,13 +37,37 @@ def test_every_candidate_is_scored(spark, forest):
     assert all(redacted[i] == texts[i] for i in range(len(FOUND), len(rows)))
 
 
+def _neighbours(docs, text):
+    pieces, tail = secrets._pieces(docs["text"])
+    row = docs.select(secrets._begins(pieces).alias("begin"), secrets._candidates(pieces, tail).alias("c")).first()
+    assert row.c and len(row.begin) == len(row.c)
+    for at, c in zip(row.begin, row.c, strict=True):
+        n = len(c.text)
+        assert text[at : at + n] == c.text
+        assert c.left == text[max(0, at - secrets.LEFT_CHARS) : at] and c.right == text[at + n : at + n + secrets.RIGHT_CHARS]
+
+
+def test_odd_rows_and_long_texts(spark, forest):
+    long = " ".join(f"key{i}=v{i}a{i * 7}x" for i in range(30_000)) + " password: hunter2pass end"
+    rows = [(1, None), (2, ""), (3, "no candidate"), (None, "password: hunter2pass"), (4, "password: hunter2pass"), (4, "password: hunter2pass"), (5, long)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("pieces", F.lit(1)).withColumn("begin", F.lit("b")).withColumn("score", F.lit("s"))
+    began = time.time()
+    got = secrets.scan(docs, forest).collect()
+    assert {r.doc_id for r in got if r.secret} >= {None, 4, 5} and sum(r.doc_id == 4 for r in got) == 2 and sum(r.doc_id == 5 for r in got) > 30_000
+    out = secrets.redact(docs, forest)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or 0, (r.text or "")[-40:]) for r in out.collect() if r.doc_id != 5) == [(0, "password: [SECRET]"), (1, ""), (2, ""), (3, "no candidate"), (4, "password: [SECRET]"), (4, "password: [SECRET]")]
+    assert out.where("doc_id = 5").first().text.endswith("password: [SECRET] end")
+    assert time.time() - began < 90  # the square of the candidates would take far longer
+    assert secrets.scan(docs.limit(0), forest).count() == 0 and secrets.redact(docs.limit(0), forest).count() == 0
+
+
 def test_neighbours_come_from_the_whole_text(spark, forest):
     text = 'x = 1 aws_secret_access_key_of_mine   "04dbebab91ab85687d33eeaaf9ac699e1188f962" thanonontioniner-hainghethesthing end'
     docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
-    for c in docs.select(secrets._candidates(docs["text"]).alias("c")).first().c:
-        at, n = c.begin, len(c.text)
-        assert text[at : at + n] == c.text
-        assert c.left == text[max(0, at - secrets.LEFT_CHARS) : at] and c.right == text[at + n : at + n + secrets.RIGHT_CHARS]
+    _neighbours(docs, text)
+    many = "; ".join(f"k{i}=v{i}x" if i % 7 else f"é漢😀 k={i}z token: s3cr3t{i}" for i in range(900)) + " the end"
+    _neighbours(spark.createDataFrame([(1, many)], "doc_id bigint, text string"), many)
     side = spark.createDataFrame([("04dbebab91ab85687d33eeaaf9ac699e1188f962", 'token = "', x) for x in ('" end', " = 1", " end")], "text string, left string, right string")
     rows = [tuple(r) for r in side.select(*[f.alias(n) for n, f in zip(secrets.FEATURES, secrets.features(side["text"], side["left"], side["right"]), strict=True)]).collect()]
     assert len(set(rows)) == 3 and all(r[secrets.FEATURES.index("secret_word")] == 1 for r in rows)
