@@ -7,8 +7,8 @@ windows on the word; the place in the text and the window's length bound where i
 then compared one by one. Items and windows stay tables: neither passes the driver or is broadcast. A worker leaves out
 words by a bit table of BITS positions, the same size whatever the benchmark; what it lets pass wrongly the join ends.
 
-Texts are judged once for all their copies, by a digest. Two passes over the texts in Python (counts, places), one with
-Spark's functions (words of a text); what was found comes back by an equi join.
+Texts are judged once for all their copies, by a digest. Three passes over the texts (counts, places, numbers of words);
+what was found comes back by an equi join.
 
 Null text or text without words: no words, no hit. Items without words, and items whose id is null, take no part;
 rows of one item_id count as one item. Repeated rows are judged alike. Words of equal rarity: the one that comes first
@@ -23,9 +23,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from lexspark.llm.common import as_bytes, blocks, stored
 
@@ -36,7 +38,6 @@ BITS = 1 << 22
 COUNTED = 200_000
 #: Lower-cases A-Z and makes a space of every ASCII character that is not a letter or digit.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -108,26 +109,35 @@ def _counts(docs: DataFrame, text_col: str, bits) -> DataFrame:
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _places(docs: DataFrame, text_col: str, bits, size: int) -> DataFrame:
-    """key (of a text), word, pos, near (the words up to size - 1 before and after), off (the word's place in near), each once."""
+def _places(docs: DataFrame, text_col: str, bits, known, size: int, least: int) -> DataFrame:
+    """key (of a text), word, pos, near, off, each once: places of words of `bits` inside a run of words of `known`.
+
+    A window holds words of items alone, so only a run of them, `least` words long at least, can hold one; near is the
+    run, size - 1 words to either side at most, and off the word's place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = Filter(bits.value)
+        keep, every = Filter(bits.value), Filter(known.value)
         for batch in batches:
             texts = as_bytes(batch.column(1))
             for a, b in blocks(texts):
                 lists = [words_of(t) for t in texts[a:b]]
-                wanted = keep.of(lists)
+                wanted, items = keep.of(lists), every.of(lists)
                 row, word, pos, near, off = [], [], [], [], []
                 for k, words in enumerate(lists, a):
                     if wanted.isdisjoint(words):
                         continue
                     for i in [i for i, w in enumerate(words) if w in wanted]:
-                        first = max(0, i - size + 1)
+                        first, end = i, i + 1
+                        while first > max(0, i - size + 1) and words[first - 1] in items:
+                            first -= 1
+                        while end < min(len(words), i + size) and words[end] in items:
+                            end += 1
+                        if end - first < least:
+                            continue
                         row.append(k)
                         word.append(words[i].decode())
                         pos.append(i)
-                        near.append(b" ".join(words[first : i + size]).decode())
+                        near.append(b" ".join(words[first:end]).decode())
                         off.append(i - first)
                 if row:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(word), pa.array(pos, pa.int64()), pa.array(near), pa.array(off, pa.int32())], ["key", "word", "pos", "near", "off"])
@@ -135,11 +145,13 @@ def _places(docs: DataFrame, text_col: str, bits, size: int) -> DataFrame:
     return docs.select(_key(text_col).alias("key"), F.col(text_col).cast("string")).mapInArrow(run, "key string, word string, pos bigint, near string, off int").distinct()
 
 
-def _key(text_col: str):
-    return F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+@F.pandas_udf(LongType())
+def _n_words(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: len(words_of(t.encode())) if t else 0)
 
 
-FOUND_SQL = "struct<n_words:bigint,starts:array<bigint>,ends:array<bigint>,items:array<string>>"
+def _key(text_col: str):
+    return F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, found_col: str = "found") -> DataFrame:
@@ -147,11 +159,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     items = items.select(F.col(item_id).cast("string").alias("item"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text")).where("item is not null")
     owned = stored(_windows(items, size))
     each = owned.select("window").distinct().select("window", F.posexplode(F.split("window", " ")).alias("at", "word"))
-    counts = _counts(docs, text_col, _bits(each.select("word")))
+    known = _bits(each.select("word"))
+    counts = _counts(docs, text_col, known)
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at")).alias("r")
     windows = stored(each.join(counts, "word", "left").groupBy("window").agg(rarest, F.count("*").cast("int").alias("size")).select("window", F.col("r.word").alias("word"), F.col("r.at").alias("at"), "size"))
 
-    places = _places(docs, text_col, _bits(windows.select("word")), size)
+    least = windows.agg(F.coalesce(F.min("size"), F.lit(size))).first()[0]
+    places = _places(docs, text_col, _bits(windows.select("word")), known, size, least)
     joined = places.join(windows, "word").where("off >= at and pos - off >= 0")
     same = F.array_join(F.slice(F.split("near", " "), F.col("off") - F.col("at") + 1, F.col("size")), " ") == F.col("window")
     hits = stored(joined.where(same).select("key", (F.col("pos") - F.col("at")).alias("start"), (F.col("pos") - F.col("at") + F.col("size")).alias("end"), "window"))
@@ -166,11 +180,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     found = stored(spans.join(own, "key").select(F.col("key").alias("_decon_key"), "spans", "items"))
 
     kept = [f"`{c}`" for c in docs.columns if c != found_col]
-    n_words = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("bigint")
-    keyed = docs.select(*kept, n_words.alias("_decon_n"), _key(text_col).alias("_decon_own"))
+    # where nobody asks for the number of words, it is not worked out
+    keyed = docs.select(*kept, _n_words(F.col(text_col).cast("string")).alias("_decon_n"), _key(text_col).alias("_decon_own"))
     out = keyed.join(found, keyed["_decon_own"] == found["_decon_key"], "left")
     places_of = lambda name: F.coalesce(F.transform("spans", lambda s: s[name]), F.array().cast("array<bigint>"))
-    shown = F.struct(keyed["_decon_n"].alias("n_words"), places_of("start").alias("starts"), places_of("end").alias("ends"), F.coalesce(found["items"], F.array().cast("array<string>")).alias("items")).cast(FOUND_SQL)
+    shown = F.struct(keyed["_decon_n"].alias("n_words"), places_of("start").alias("starts"), places_of("end").alias("ends"), F.coalesce(found["items"], F.array().cast("array<string>")).alias("items"))
     return out.select(*[keyed[c] for c in docs.columns if c != found_col], shown.alias(found_col))
 
 
