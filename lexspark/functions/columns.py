@@ -6,16 +6,115 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is worked out once; a lambda works out all but its own arguments anew for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def clean(x: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.btrim(F.regexp_replace(x, r"(?U)\s+", " "))
 
 
 def squash(x: Column) -> Column:
-    """Without any white space."""
+    """Without any white space, characters as they are; text.squashed folds them too."""
     return F.regexp_replace(x, r"(?U)\s+", "")
 
 
+# Years, dates, part numbers and marks that titles differ in.
+TITLE_NOISE = r"(?U)(?:19|20)\d{2}年度?|(?:19|20)\d{6}|第?\d+編|[\s　_・／/（）\(\)【】「」、,\.：:～~\-－—]"
+
+
+def title_norm(x: Column) -> Column:
+    """A title as it is compared with others."""
+    from lexspark.functions.text import nfkc_column
+
+    return F.regexp_replace(nfkc_column(x), TITLE_NOISE, "")
+
+
+def title_and_size(x: Column) -> Column:
+    """title and size of a link text that ends in the file's size; the whole text and null where it doesn't."""
+    # Fixed value: how the size is written.
+    pattern = r"^(.*?)\s*[（(]PDF[：:]\s*([\d.]+\s*[KMG]?B)\s*[）)]\s*$"
+    fits = x.rlike(pattern)
+    return F.struct(F.when(fits, clean(F.regexp_extract(x, pattern, 1))).otherwise(x).alias("title"), F.when(fits, clean(F.regexp_extract(x, pattern, 2))).alias("size"))
+
+
+def is_rule_change(classifications: Column) -> Column:
+    return F.coalesce(F.array_contains(classifications, "規則変更"), F.lit(False))
+
+
+def is_comparison(x: Column) -> Column:
+    return F.coalesce(x.rlike("対比表|対照表|新旧"), F.lit(False))
+
+
+def notice_number(x: Column) -> Column:
+    return F.nullif(F.regexp_extract(x, r"公示\s*No\.?\s*([0-9A-Za-z‐-―\-]+)", 1), F.lit(""))
+
+
+_N, _K = "[0-9０-９]", "[0-9０-９一二三四五六七八九十]"
+# Marks that open a heading, with its level and the longest text; the first that fits decides.
+HEADING_MARKS = [
+    (rf"^第\s*{_K}+\s*編", 1, 40),
+    (rf"^第\s*{_K}+\s*部", 1, 40),
+    (rf"^第\s*{_K}+\s*章", 2, 40),
+    (rf"^第\s*{_K}+\s*節", 3, 60),
+    (rf"^第\s*{_N}+\s*条", 4, 60),
+    (r"^(附\s*則|付\s*則|別\s*表|別\s*紙|付\s*表|付\s*録|参\s*考)", 2, 40),
+    (rf"^{_N}+\s*[-－‐]\s*{_N}+\s*[-－‐]\s*{_N}+", 5, 30),
+    (rf"^{_N}+\s*[-－‐]\s*{_N}+", 5, 30),
+    (rf"^{_N}+\s*[.．]\s*{_N}+", 5, 30),
+    (rf"^{_N}+\s*[.．]\s*\S", 5, 30),
+]
+
+
+def caption(x: Column) -> Column:
+    return F.coalesce(x.rlike(r"^\s*[（(]?\s*(図|表|写真|Fig|Table|参考図|付図)\s*[0-9０-９\-－.]*"), F.lit(False))
+
+
+def clause_number(x: Column) -> Column:
+    """The number that opens a clause, without white space; null if none does."""
+    found = F.regexp_extract(x, rf"^\s*(第\s*{_K}+\s*[編章節条]|{_N}+(?:\s*[.．\-－]\s*{_N}+)*\s*[）)]?)", 1)
+    return F.nullif(squash(found), F.lit(""))
+
+
+def garbled_share(x: Column) -> Column:
+    """Share of replacement and private-use characters; 0 of an empty text."""
+    bad = F.length(x) - F.length(F.regexp_replace(x, "[\ufffd\ue000-\uf8ff]", ""))
+    return F.when(F.length(x) > 0, bad / F.length(x)).otherwise(0.0)
+
+
+def needs_ocr(chars: Column, raster_cover: Column, garbled: Column) -> Column:
+    return ((chars < 40) & (raster_cover > 0.45)) | (garbled > 0.2)
+
+
+def safe_id(x: Column) -> Column:
+    """No path signs and no parent folder in an id."""
+    return F.coalesce((x != "") & ~x.rlike(r"[/\\\x00]") & ~F.contains(x, F.lit("..")), F.lit(False))
+
+
+def url_quoted(x: Column, keep_slash: bool = True) -> Column:
+    out = F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))
+    return F.replace(out, F.lit("%2F"), F.lit("/")) if keep_slash else out
+
+
+def page_url(pdf_url: Column, page: Column) -> Column:
+    """The address of a page of a file; the file's own where the page is unknown, null where the file is."""
+    return F.when(pdf_url.isNull() | (pdf_url == "") | page.isNull() | (page == 0), pdf_url).otherwise(F.concat(pdf_url, F.lit("#page="), page.cast("string")))
+
+
+def answer_key(question: Column, model: Column, dim: Column, version: Column) -> Column:
+    """Digest under which an answer is kept: the folded question, the model and the data's version."""
+    from lexspark.functions.text import normalised
+
+    return F.sha2(F.concat_ws("\u0000", F.lower(normalised(question)), model, dim.cast("string"), version), 256)
+
+
+def citations(x: Column) -> Column:
+    """Numbers in square brackets, in order, each once."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(r"\[(\d{1,2})\]"), F.lit(1)), lambda n: n.cast("int")))
+
+
 def clip(x: Column, limit: int) -> Column:
     """At most `limit` characters; a cut text loses trailing separators and ends in an ellipsis."""
     cut = F.regexp_replace(F.substring(x, 1, limit - 1), "[／、。 ]+$", "")

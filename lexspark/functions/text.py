@@ -1,18 +1,21 @@
-"""Pure functions on one text, and their vectorised forms where Spark has none of its own."""
+"""Functions on one text that Spark has none of its own for, and their column forms by Arrow batches."""
 
 from __future__ import annotations
 
 import difflib
 import re
 import unicodedata
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-BEFORE, AFTER = 120, 220
+BEFORE, AFTER, LABEL = 120, 220, 42
 OPEN, CLOSE, GAP = "\x01", "\x02", "…"
+# A clause mark at the start of a normalised line, which white space must follow.
+CLAUSE_LINE = re.compile(r"^(?:第\s*[0-9０-９]+\s*[条章編節項]|[0-9０-９]+(?:[.．][0-9０-９]+)*\s*[)）])[\s　]")
 
 
 def nfkc(text: str | None) -> str:
@@ -24,87 +27,82 @@ def nfkc_column(texts: pd.Series) -> pd.Series:
     return texts.map(nfkc)
 
 
-def folded(text: str) -> tuple[str, list[int]]:
-    """Compatibility form in lower case, and for each of its characters the place in the original."""
-    out, back = [], []
-    for i, c in enumerate(text):
-        own = unicodedata.normalize("NFKC", c).casefold()
-        out.append(own)
-        back += [i] * len(own)
-    return "".join(out), back
-
-
-def matches(text: str, terms: list[str]) -> list[tuple[int, int]]:
-    """Spans in the original text of all occurrences of the terms, in order; later ones that overlap are left out."""
-    own, back = folded(text)
-    spans = []
-    for term in terms:
-        t = folded(term)[0]
-        at = own.find(t) if t else -1
-        while at >= 0:
-            spans.append((back[at], back[at + len(t) - 1] + 1))
-            at = own.find(t, at + len(t))
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if not out or a >= out[-1][1]:
-            out.append((a, b))
-    return out
+def squashed(x: Column) -> Column:
+    """Compatibility form without any white space."""
+    return F.regexp_replace(nfkc_column(x), r"(?U)\s+", "")
+
+
+def normalised(x: Column) -> Column:
+    """Compatibility form, runs of white space as one space, none at the ends."""
+    return F.btrim(F.regexp_replace(nfkc_column(x), r"(?U)\s+", " "))
+
+
+class Folded:
+    """A text's compatibility form in one case, with the original place of each of its characters."""
+
+    def __init__(self, text: str):
+        parts = [unicodedata.normalize("NFKC", c).casefold() for c in text]
+        self.form = "".join(parts)
+        self.place = np.repeat(np.arange(len(parts)), np.fromiter(map(len, parts), np.int64, len(parts)))
 
+    def spans(self, terms: list[str]) -> pd.DataFrame:
+        """begin, end in the original of every occurrence of the terms; of those that overlap the first."""
+        wanted = [re.escape(form) for form in (nfkc(t).casefold() for t in terms) if form]
+        found = [m.span() for w in wanted for m in re.finditer(w, self.form)]
+        table = pd.DataFrame([(self.place[a], self.place[b - 1] + 1) for a, b in found], columns=["begin", "end"]).astype("int64").sort_values(["begin", "end"], ignore_index=True)
+        free, kept = 0, []
+        for row in table.itertuples():
+            kept.append(row.begin >= free)
+            free = row.end if kept[-1] else free
+        return table[pd.Series(kept, dtype=bool)]
 
-def first_match(text: str, terms: list[str]) -> int | None:
-    found = matches(text or "", terms)
-    return found[0][0] if found else None
+
+def first_match(text: str | None, terms: list[str]) -> int | None:
+    found = Folded(text or "").spans(terms)
+    return None if found.empty else int(found["begin"].iloc[0])
 
 
 def excerpt(text: str | None, terms: list[str], before: int = BEFORE, after: int = AFTER) -> str:
-    """Window around the first match with all matches in it marked; the head of the text if nothing matches."""
+    """Window around the first match, the matches that lie whole in it marked; the head of the text if nothing matches."""
     text = text or ""
-    terms = [t for t in terms if t]
-    if not terms:
-        return text
-    found = matches(text, terms)
-    if not found:
-        return text if len(text) <= before + after else text[: before + after] + " " + GAP
-    start, end = max(0, found[0][0] - before), min(len(text), found[0][0] + after)
-    out, last = [], start
-    for a, b in found:
-        if a >= end:
-            break
-        out += [text[last:a], OPEN, text[a : min(b, end)], CLOSE]
-        last = min(b, end)
-    out.append(text[last:end])
-    return (GAP + " " if start else "") + "".join(out) + (" " + GAP if end < len(text) else "")
-
-
-# A clause mark at the start of a line, which white space must follow.
-CLAUSE_LINE = re.compile(r"^(第\s*[0-9０-９一二三四五六七八九十百]+\s*[条章節編項]|[0-9０-９]+(?:[.．][0-9０-９]+)*[.．)）]?|[（(][0-9０-９]+[)）]|[①-⑳])[\s　]+\S")
-LABEL = 42
-
-
-def clause_at(text: str, offset: int | None, heading: str | None = None) -> str | None:
-    """The nearest clause line at or before an offset; not the inherited first line, not a table row."""
-    if offset is None:
-        return None
-    best, at = None, 0
-    for k, line in enumerate(text.split("\n")):
-        if at > offset:
-            break
-        inherited = k == 0 and heading and line.strip() == heading.strip()
-        if not inherited and " | " not in line and CLAUSE_LINE.match(line):
-            best = line.strip()
-        at += len(line) + 1
-    return best if best is None or len(best) <= LABEL else best[:LABEL] + GAP
+    found = Folded(text).spans(terms)
+    begin = 0 if found.empty else max(0, int(found["begin"].iloc[0]) - before)
+    end = min(len(text), before + after if found.empty else int(found["begin"].iloc[0]) + after)
+    marked = found[found["end"] <= end]
+    edges = [begin, *marked.to_numpy().ravel().tolist(), end]
+    shown = "".join(OPEN + text[a:b] + CLOSE if k % 2 else text[a:b] for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)))
+    return (GAP + " " if begin else "") + shown + (" " + GAP if end < len(text) else "")
+
+
+def clause_at(text: str | None, offset: int | None, heading: str | None = None) -> str | None:
+    """The nearest clause line that begins at or before an offset; not the inherited first line, not a table row."""
+    lines = (text or "").split("\n")
+    begins = np.cumsum([0, *(len(x) + 1 for x in lines[:-1])])
+    reach = int(np.searchsorted(begins, -1 if offset is None else offset, "right"))
+    inherited = bool(heading) and lines[0].strip() == heading.strip()
+    for line in reversed(lines[inherited:reach] if inherited else lines[:reach]):
+        if " | " not in line and CLAUSE_LINE.match(nfkc(line.strip())):
+            label = " ".join(line.split())
+            return label if len(label) <= LABEL else label[:LABEL] + GAP
+    return None
+
+
+# Ideographs and kana, and closing marks.
+_WIDE, _CLOSING = "\u3000-\u30ff\u4e00-\u9fff", "、。）」"
+_SEAM = re.compile(rf"(?<=[{_WIDE}{_CLOSING}])\n|\n(?=[{_WIDE}])")
 
 
 def join_lines(lines: list[str]) -> str:
     """Lines as one text: no space beside ideographs, kana and closing marks."""
-    wide = lambda c: "　" <= c <= "ヿ" or "一" <= c <= "鿿"
-    out = ""
-    for line in (x.rstrip() for x in lines):
-        if out and line:
-            out += "" if wide(out[-1]) or wide(line[0]) or out[-1] in "、。）」" else " "
-        out += line
-    return out.strip()
+    whole = "\n".join(x for x in (line.rstrip() for line in lines) if x)
+    return _SEAM.sub("", whole).replace("\n", " ").strip()
+
+
+def joined_lines(lines: Column) -> Column:
+    """join_lines of an array of lines without line ends, in the JVM."""
+    kept = F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)\s+$", "")), lambda x: x != "")
+    seams = F.regexp_replace(F.array_join(kept, "\n"), rf"(?<=[{_WIDE}{_CLOSING}])\n|\n(?=[{_WIDE}])", "")
+    return F.btrim(F.replace(seams, F.lit("\n"), F.lit(" ")))
 
 
 def similarity(a: str, b: str) -> float:
@@ -112,16 +110,40 @@ def similarity(a: str, b: str) -> float:
 
 
 def line_diff(old: str, new: str) -> list[tuple[str, str]]:
-    """(op, line) of deleted and added lines."""
+    """(op, line) of deleted and added lines; a line ends at a line feed and nothing else."""
     out = []
-    a, b = old.splitlines(), new.splitlines()
+    a, b = old.split("\n"), new.split("\n")
     for op, i, j, p, q in difflib.SequenceMatcher(None, a, b).get_opcodes():
         if op != "equal":
             out += [("del", x) for x in a[i:j]] + [("add", x) for x in b[p:q]]
     return out
 
 
+def _terms(column: pd.Series) -> list[list[str]]:
+    return [list(t) if t is not None else [] for t in column]
+
+
+@F.pandas_udf(StringType())
+def excerpt_column(texts: pd.Series, terms: pd.Series) -> pd.Series:
+    return pd.Series([excerpt(x, t) for x, t in zip(texts, _terms(terms), strict=True)], dtype=object)
+
+
+@F.pandas_udf(IntegerType())
+def first_match_column(texts: pd.Series, terms: pd.Series) -> pd.Series:
+    return pd.Series([first_match(x, t) for x, t in zip(texts, _terms(terms), strict=True)], dtype="Int32")
+
+
 @F.pandas_udf(StringType())
-def excerpt_column(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for text, terms in rows:
-        yield pd.Series([excerpt(x, list(t)) for x, t in zip(text, terms, strict=True)])
+def clause_at_column(texts: pd.Series, offsets: pd.Series, headings: pd.Series) -> pd.Series:
+    whole = [None if o is None or o != o else int(o) for o in offsets]
+    return pd.Series([clause_at(x, o, h) for x, o, h in zip(texts, whole, headings, strict=True)], dtype=object)
+
+
+@F.pandas_udf(DoubleType())
+def similarity_column(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([similarity(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("op", StringType()), StructField("text", StringType())])))
+def line_diff_column(old: pd.Series, new: pd.Series) -> pd.Series:
+    return pd.Series([[{"op": o, "text": x} for o, x in line_diff(a or "", b or "")] for a, b in zip(old, new, strict=True)])

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions.text import line_diff, nfkc, similarity
+from lexspark.operators.headings import level_of, under_headings
 
 PREAMBLE, SAME_HEADING = "(前文)", 0.72
 CHANGES = "target_id string, base_id string, ord int, status string, key string, heading string, similarity double, lines array<struct<op:string,text:string>>"
@@ -18,25 +19,16 @@ CHANGES = "target_id string, base_id string, ord int, status string, key string,
 def clauses(blocks: list[dict]) -> dict[str, tuple[str, str]]:
     """key -> (heading, body), in order. The title (level 1) is in no key; repeated keys are numbered from 2."""
     found: list[tuple[str, str, list[str]]] = []
-    above: list[tuple[int, str]] = []
-    for b in blocks:
-        if b["type"] == "heading":
-            level = int(b.get("level") or 3)
-            while above and above[-1][0] >= level:
-                above.pop()
-            above.append((level, nfkc(b.get("clause") or b.get("text"))))
-            key = " > ".join(t for n, t in above if n >= 2)
-            if level >= 2:
-                found.append((key or PREAMBLE, nfkc(b.get("text")), []))
-            else:
-                found.append((PREAMBLE, "", []))
-            continue
-        if not found:
-            found.append((PREAMBLE, "", []))
-        if b["type"] == "table":
-            found[-1][2].extend(" | ".join(nfkc(c) for c in row) for row in (b.get("rows") if b.get("rows") is not None else []))
-        elif b["type"] != "figure" and b.get("text"):
-            found[-1][2].append(nfkc(b["text"]))
+    for head, above, own in under_headings(blocks, lambda h: nfkc(h.get("clause") or h.get("text"))):
+        inner = head is not None and level_of(head) >= 2
+        key = " > ".join(v for k, v in sorted(above.items()) if k >= 2) if inner else ""
+        body: list[str] = []
+        for b in own:
+            if b["type"] == "table":
+                body += [" | ".join(nfkc(c) for c in row) for row in (b.get("rows") if b.get("rows") is not None else [])]
+            elif b["type"] != "figure" and b.get("text"):
+                body.append(nfkc(b["text"]))
+        found.append((key or PREAMBLE, nfkc(head.get("text")) if inner else "", body))
     out: dict[str, tuple[str, str]] = {}
     seen: dict[str, int] = {}
     for key, heading, body in found:
@@ -106,3 +98,28 @@ def adjacent(members: DataFrame, series: str, order: list, id_col: str) -> DataF
     """Neighbouring members of each series: base_id, target_id."""
     w = Window.partitionBy(series).orderBy(*order)
     return members.select(series, F.col(id_col).alias("base_id"), F.lead(id_col).over(w).alias("target_id")).where("target_id is not null")
+
+
+def pairs_of(members: DataFrame, previous: DataFrame) -> DataFrame:
+    """kind, base_id, target_id: a document and its earlier version (`previous`: doc_id), and neighbouring editions of a series."""
+    old = previous.select(F.lit("revision").alias("kind"), F.concat("doc_id", F.lit("@previous")).alias("base_id"), F.col("doc_id").alias("target_id"))
+    order = [F.coalesce("effective_date", F.lit("0000-00-00")), "doc_id"]
+    return old.unionByName(adjacent(members, "series", order, "doc_id").select(F.lit("edition").alias("kind"), "base_id", "target_id"))
+
+
+def index(summaries: DataFrame) -> DataFrame:
+    """target_id and its comparisons (kind, base_date, base_id, counts): revisions first, then by the base's date; `substantive` counts what is more than a year."""
+    own = summaries.withColumn("substantive", F.col("changed") + F.col("added") + F.col("removed"))
+    row = F.struct((F.col("kind") != "revision").alias("later"), "base_date", "base_id", "kind", "clauses", "unchanged", "changed", "year_only", "added", "removed", "substantive")
+    sorted_ = F.array_sort(F.collect_list(row))
+    return own.groupBy("target_id").agg(sorted_.alias("d")).select("target_id", F.transform("d", lambda x: x.dropFields("later")).alias("diffs"))
+
+
+def addresses(docs: DataFrame, indexed: DataFrame, root: str) -> DataFrame:
+    """url, last_date: the root, each document and each of its comparisons (docs: doc_id, upload_date)."""
+    quoted = lambda x: F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))
+    pages = docs.select(F.concat(F.lit(root + "/doc/"), quoted(F.col("doc_id"))).alias("url"), F.col("upload_date").alias("last_date"))
+    newest = docs.agg(F.lit(root + "/").alias("url"), F.max("upload_date").alias("last_date"))
+    each = indexed.select("target_id", F.explode("diffs").alias("d")).join(docs, F.col("target_id") == F.col("doc_id"))
+    diffs = each.select(F.concat(F.lit(root + "/doc/"), quoted(F.col("doc_id")), F.lit("/diff/"), quoted(F.col("d.base_id"))).alias("url"), F.col("upload_date").alias("last_date"))
+    return newest.unionByName(pages).unionByName(diffs)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspark.functions.columns import occurrences, trigrams
+from lexspark.functions.columns import let, occurrences, trigrams
+from lexspark.functions.text import nfkc_column
 
 K1, B, SHORTEST, LEAST_IDF = 1.2, 0.75, 3, 1e-6
 
@@ -55,6 +56,18 @@ def facets(found: DataFrame, keys: list[str]) -> DataFrame:
     return found.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
+def index_text(chunks: DataFrame, text_col: str = "text") -> DataFrame:
+    """chunks with text_norm, the compatibility form that every search looks at; worked out once, when the table is written."""
+    return chunks.withColumn("text_norm", nfkc_column(F.col(text_col)))
+
+
+def short_lists(chunks: DataFrame, words: list[str], id_col: str, text_col: str = "text", n: int = 30, most: int = 2) -> DataFrame:
+    """id, rank of the fallback of a question: the first words, n rows each in order of ids, each list ranked by itself."""
+    lists = [substring_search(chunks, [w], text_col).select(F.lit(k).alias("list"), F.col(id_col).alias("id")).orderBy("id").limit(n) for k, w in enumerate(words[:most])]
+    every = reduce(DataFrame.unionByName, lists)
+    return every.withColumn("rank", F.row_number().over(Window.partitionBy("list").orderBy("id")))  # two lists of n rows at most
+
+
 def substring_search(chunks: DataFrame, words: list[str], text_col: str = "text", where: Column | None = None) -> DataFrame:
     """The fallback for words too short for the index: literal, in any case, all of them."""
     found = chunks.where(matching(F.col(text_col), [w.lower() for w in words]))
@@ -63,5 +76,8 @@ def substring_search(chunks: DataFrame, words: list[str], text_col: str = "text"
 
 def postings(chunks: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """gram, id, freq of every trigram."""
-    own = chunks.select(id_col, F.explode(trigrams(F.lower(text_col))).alias("gram"))
-    return own.groupBy("gram", id_col).agg(F.count("*").alias("freq"))
+    # a text's own trigrams are sorted and counted inside its row: one entry of each leaves it, and nothing is shuffled
+    last = lambda g: F.filter(F.transform(g, lambda x, i: F.struct(x.alias("gram"), i.alias("i"), F.get(g, i + 1).alias("next"))), lambda x: ~x["gram"].eqNullSafe(x["next"]))
+    counts = lambda r: F.transform(r, lambda x, k: F.struct(x["gram"].alias("gram"), (x["i"] - F.coalesce(F.get(r, k - 1)["i"], F.lit(-1))).cast("bigint").alias("freq")))
+    own = chunks.select(id_col, F.explode(let(let(F.array_sort(trigrams(F.lower(text_col))), last), counts)).alias("e"))
+    return own.select("e.gram", id_col, "e.freq")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from lexspark import plans
 from lexspark.functions import columns as C
 from lexspark.functions import text as T
-from lexspark.operators import chunking, diff, history, layout, linking, search
-from lexspark.sources import documents
+from lexspark.operators import chunking, diff, history, layout, linking, search, store
+from lexspark.sources import documents, web
 from lexspark.streaming import changes
 
 SF = "/root/testdata/sf0.001"
@@ -33,11 +33,86 @@ def test_excerpt_and_match():
     assert T.excerpt("Straße ende", ["ende"]) == "Straße \x01ende\x02"
 
 
-def test_clause_label():
-    body = "1. First\nwords\n2. Second one\nmore words"
-    assert T.clause_at(body, body.index("more")) == "2. Second one" and T.clause_at(body, 3) == "1. First"
-    assert T.clause_at(body, 3, "1. First") is None and T.clause_at("1.x\nword", 5) is None and T.clause_at("1. a | b\nword", 10) is None
-    assert T.join_lines(["a ", "b"]) == "a b" and T.join_lines(["日本", "語 "]) == "日本語"
+def test_excerpt_drops_what_its_window_cuts():
+    assert T.excerpt("abc" + "x" * 16 + "abc", ["abc"], 10, 20) == "\x01abc\x02" + "x" * 16 + "a …"
+    assert T.excerpt("z" * 500, [], 10, 20) == "z" * 30 + " …"
+
+
+def test_clause_label(spark):
+    body = "8.2.4)　First one\nwords\n第１２条　Second  one\nmore words"
+    assert T.clause_at(body, body.index("more")) == "第１２条 Second one" and T.clause_at(body, 3) == "8.2.4) First one"
+    assert T.clause_at(body, 3, "8.2.4)　First one") is None and T.clause_at("9)のうち\nword", 7) is None and T.clause_at("1) a | b\nword", 10) is None
+    assert all(T.clause_at(x + "\nword", 9) is None for x in ("1. First", "① one", "(1) one", "第三条 x")) and T.clause_at("", 0) is None
+    assert T.clause_at("1) " + "x" * 60, 5) == "1) " + "x" * 39 + "…"
+    assert T.join_lines(["a ", "b"]) == "a b" and T.join_lines(["日本", "語 "]) == "日本語" and T.join_lines(["終。", "x", "", "y"]) == "終。x y"
+    rows = spark.createDataFrame([(["a ", "b"],), (["日本", "語 ", "x"],), ([],)], "l array<string>")
+    assert [r.x for r in rows.select(T.joined_lines(F.col("l")).alias("x")).collect()] == ["a b", "日本語x", ""]
+    assert T.line_diff("a\x0cb\n", "a\x0cb") == [("del", "")]
+
+
+def test_more_column_functions(spark):
+    c = F.col("c0")
+    assert one(spark, C.title_norm(c), "２０２６年度 競技規定_20260401（第2編）") == "競技規定" and one(spark, T.squashed(c), "Ａ　１\n条") == "A1条"
+    assert tuple(one(spark, C.title_and_size(c), "規則 （PDF： 1.2 MB）")) == ("規則", "1.2 MB") and tuple(one(spark, C.title_and_size(c), "規則")) == ("規則", None)
+    assert one(spark, C.notice_number(c), "x 公示No.2026-WEB064 y") == "2026-WEB064" and one(spark, C.is_comparison(c), "新旧表") and not one(spark, C.is_comparison(c), "x")
+    assert one(spark, C.clause_number(c), " 第 3 条 x") == "第3条" and one(spark, C.clause_number(c), "none") is None and one(spark, C.caption(c), "図 3 x")
+    assert one(spark, C.garbled_share(c), "a\ufffd") == 0.5 and one(spark, C.garbled_share(c), "") == 0
+    assert one(spark, C.safe_id(c), "a-b") and not one(spark, C.safe_id(c), "../x") and one(spark, C.url_quoted(c), "a b/あ") == "a%20b/%E3%81%82"
+    assert one(spark, C.citations(c), "x [2] y [11][2] [123]") == [2, 11] and one(spark, C.page_url(c, F.lit(3)), "u") == "u#page=3"
+    level = lambda text, size=10.0, bold=False: one(spark, layout.heading_level(c, F.lit(size), F.lit(10.0), F.lit(bold)), text)
+    assert [level("第1編 総則"), level("第２章"), level("第3条 目的"), level("1.2 x"), level("第1章" + "x" * 50, 20.0), level("Big", 15.0), level("Mid", 12.5), level("Bold", 10.6, True), level("text"), level("")] == [1, 2, 4, 5, None, 1, 2, 3, None, None]
+
+
+LISTING = """<html><body><h1>Rules</h1><div id="onetrust"><h2>クッキー</h2><div class="toggle-accordion"><a href="/c.pdf">c</a></div></div>
+<div id="01"><h2>Race &amp; more</h2><div class="toggle-accordion"><div class="_header">Group A</div><ul><li><a href="/f/One.pdf"><p class="_title">One （PDF：1.5 MB）</p><p class="_date">2026年3月5日</p></a></li>
+<li><a href="/f/One.pdf">again</a><br><a href="/x.html">no file</a></ul></div><div class="toggle-accordion"><div class="_header">Group B</div><a href="two.PDF?v=1">Two</a></div></div>
+<p><a href="/f/One.pdf"><p class="_title">One</p><p class="_date">2026年4月1日</p></a></p></body></html>"""
+DETAIL = """<main><p>公示No.2026-WEB064 on</p><a href="a.pdf">Old and new 新旧対照表</a><a href="a.pdf">again</a><a href="b.html">no</a><a href="/b.pdf">b <b>file</b></a></main><footer><a href="/f.pdf">f</a></footer>"""
+
+
+def test_web_sources(spark):
+    pages = spark.createDataFrame([("https://h.org/list/", LISTING), ("https://h.org/none", None)], "url string, html string")
+    got = [(r.place, r.section, r.group, r.title, r["size"], r.pdf_url, r.upload_date) for r in web.listing(pages).orderBy("place").collect()]
+    assert got == [(0, "Race & more", "Group A", "One", "1.5 MB", "https://h.org/f/One.pdf", "2026-03-05"), (1, "Race & more", "Group B", "Two", None, "https://h.org/list/two.PDF?v=1", None)]
+    assert [tuple(r) for r in web.updates(pages).collect()] == [("https://h.org/f/One.pdf", "2026-04-01")]
+    (d,) = web.details(spark.createDataFrame([("https://h.org/n/1", DETAIL)], "url string, html string")).collect()
+    assert d.notice_no == "2026-WEB064" and [tuple(a) for a in d.attachments] == [("Old and new 新旧対照表", "https://h.org/n/a.pdf", True), ("b file", "https://h.org/b.pdf", False)]
+    response = json.dumps({"noticeAnnouncementsList": [{"id": "1", "title": " T ", "releaseDate": "2026年9月1日", "url": "/n/1", "competition": "a, b,", "classification": "規則変更,x"}, {"url": "/n/2"}], "totalCount": 1187})
+    rows = web.notices(spark.createDataFrame([(response,), ("broken",)], "value string"), "https://h.org").orderBy("id").collect()
+    assert [(r.id, r.title, r.date, r.url, r.competitions, r.rule_change, r.total) for r in rows] == [("/n/2", "", None, "https://h.org/n/2", [], False, 1187), ("1", "T", "2026-09-01", "https://h.org/n/1", ["a", "b"], True, 1187)]
+
+
+def test_store_lookups(spark):
+    docs = spark.createDataFrame([("a", "T a", "s", "2025", "u.pdf"), ("b", "T b", "s", "2026", None), ("c", "T c", "z", "2026", None)], "doc_id string, title string, series string, edition string, pdf_url string")
+    chunks = spark.createDataFrame([(1, "a", "1) Head one", "x", "1) Head one\n8.2)　clause here\nthe ＴＥＲＭ stands", 1, [(0, 1), (14, 7)]), (2, "a", "not a heading。", "x", "y", 2, []), (3, "a", "2) Head two", None, "z", None, None)], "chunk_id int, doc_id string, heading string, anchor string, text string, page_start int, pages array<struct<offset:int,page:int>>")
+    ids = spark.createDataFrame([(3, 1), (99, 2), (1, 3)], "chunk_id int, rank int")
+    assert [(r.chunk_id, r.place, r.title) for r in store.hydrated(ids, chunks, docs).collect()] == [(3, 1, "T a"), (1, 3, "T a")]
+    assert [(r.doc_id, r.current) for r in store.editions_of(docs, "b").collect()] == [("a", False), ("b", True)] and store.editions_of(docs, "c").count() == 0
+    (h,) = store.hits(chunks.where("chunk_id = 1").join(docs, "doc_id"), ["term"]).collect()
+    assert (h.page, h.heading_reliable, h.clause_at_match, h.pdf_page_url) == (7, False, "8.2) clause here", "u.pdf#page=7") and "\x01ＴＥＲＭ\x02" in h.snippet
+    assert [tuple(r) for r in store.description(chunks).collect()] == [("a", "1) Head one／2) Head two")]
+    rows = spark.createDataFrame([(1, "x", "A"), (2, "x", "A"), (3, "", "A"), (4, "x", "A")], "k int, s string, w string")
+    assert [r.opens for r in store.control_breaks(rows, ["s"], ["k"], "w").orderBy("k").collect()] == [True, False, True, True]
+    answers = spark.createDataFrame([(1, "see [1] and [4]")], "id int, text string")
+    sources = spark.createDataFrame([(1, 1, "T", "body")], "id int, place int, title string, text string")
+    assert [(r.place, r.dangling) for r in store.cited(answers, sources).orderBy("place").collect()] == [(1, False), (4, True)]
+    turns = spark.createDataFrame([(1, k, "user", f"t{k}") for k in range(9)], "id int, turn int, role string, text string")
+    (c,) = store.context(sources, turns).collect()
+    assert c.context == "[1] T\nbody" and [t.turn for t in c.turns] == [3, 4, 5, 6, 7, 8]
+
+
+def test_numbered_chunks(spark):
+    rows = [(f"d{k % 7}", k // 7, k % 3) for k in range(50)]
+    got = chunking.numbered(spark.createDataFrame(rows, "doc_id string, section int, part int")).orderBy("chunk_id").collect()
+    assert [r.chunk_id for r in got] == list(range(1, 51)) and [(r.doc_id, r.section, r.part) for r in got] == sorted(rows)
+
+
+def test_sync_rules(spark):
+    catalog = spark.createDataFrame([(k, "2026-02-01") for k in "abcdefg"], "doc_id string, upload_date string")
+    state = spark.createDataFrame([("a", "2026-02-01", "x", "v2", True), ("b", "2026-01-01", "x", "v2", True), ("c", "2026-01-01", "x", "v2", True), ("d", "2026-01-01", "x", "v1", True), ("e", "2026-01-01", "x", "v2", True)], "doc_id string, upload_date string, sha256 string, pipeline_version string, has_document boolean")
+    fetched = spark.createDataFrame([("b", "x", True), ("c", "y", True), ("d", "x", False), ("e", None, None), ("f", "z", True), ("g", "z", False)], "doc_id string, sha256 string, converted boolean")
+    got = {r.doc_id: (r.action, r.snapshot, r.stage, r.refresh) for r in history.sync_plan(catalog, state, fetched, "v2").collect()}
+    assert got == {"a": ("unchanged", False, None, False), "b": ("unchanged", False, None, True), "c": ("updated", True, None, False), "d": ("failed", True, "convert", False), "e": ("failed", False, "fetch", False), "f": ("added", False, None, False), "g": ("failed", False, "convert", False)}
 
 
 def test_column_functions(spark):
@@ -98,11 +173,17 @@ def test_links_and_references(spark):
     links, rest = linking.link_notices(notices, names)
     assert sorted((r.id, r.owner, len(r.attachments), r.has_comparison) for r in links.collect()) == [(1, "annex", 1, True), (1, "kart", 1, False), (2, "kart", 1, False)]
     assert [r.id for r in rest.collect()] == [3]
-    flat = "競技車両一般規則の第6条第2項と" + "x" * 70 + "第9条、競技車両一般規則6.3.2"
-    assert [(r["prefix"]) for r in linking.references(flat, {"競技車両一般規則": ["d"]})] == ["6", "6.3.2"]
-    chunks = spark.createDataFrame([(10, "z", "6.3 other"), (20, "d", "6.3.2.1 head"), (21, "d", "6.3.2.4 detail"), (22, "d", "6.3.2 の文章、これは本文")], "chunk_id int, doc_id string, heading string")
-    scored = chunks.withColumn("score", -F.col("chunk_id") / 1.0)
-    assert [r["chunk_id"] for r in linking.follow(chunks, scored.where("chunk_id <> 20"), [{"key": "k", "prefix": "6.3.2", "label": "l", "doc_ids": ["d"]}], [])] == [20, 21]
+    texts = spark.createDataFrame([(1, "競技車両一般規則の第６条第2項と 第6条第3項" + "x" * 70 + "第9条、競技車両一般規則 6.3.2) と 第4条")], "id int, text string")
+    keys = spark.createDataFrame([("競技車両一般規則", ["d"]), ("両一般規則の第6条第", ["e"])], "key string, doc_ids array<string>")
+    # the second name begins inside the first one, which is shorter: the longer one stays
+    assert [(r.key, r.prefix, r.label) for r in linking.references(texts, keys.limit(1)).orderBy("ref").collect()] == [("競技車両一般規則", "6", "競技車両一般規則 第6条"), ("競技車両一般規則", "4", "競技車両一般規則 第4条"), ("競技車両一般規則", "6.3.2", "競技車両一般規則 6.3.2")]
+    docs = spark.createDataFrame([("d", "競技車両 一般規則_20260101"), ("e", "short")], "doc_id string, title string")
+    assert [tuple(r) for r in linking.title_keys(docs).collect()] == [("競技車両一般規則", ["d"])]
+    chunks = spark.createDataFrame([(10, "z", "6.3.2.1 other"), (20, "d", "6.3.2.1 head"), (21, "d", "6.3.2.4 detail"), (22, "d", "6.3.2.5 の文章、これは本文")], "chunk_id int, doc_id string, heading string")
+    scored = chunks.where("chunk_id <> 20").withColumn("score", -F.col("chunk_id") / 1.0)
+    refs = spark.createDataFrame([(1, "6.3.2", "l", ["d"]), (2, "6.3.2", "again", ["d"])], "place int, prefix string, label string, doc_ids array<string>")
+    seen = spark.createDataFrame([(30,)], "chunk_id int")
+    assert [(r.chunk_id, r.via) for r in linking.follow(chunks, scored, refs, seen).collect()] == [(20, "l"), (21, "l")]
 
 
 def test_layout(spark):
@@ -110,6 +191,12 @@ def test_layout(spark):
     assert layout.xy_cut([(200, 0, 300, 10), (0, 0, 100, 10), (0, 30, 100, 40)]) == [1, 2, 0]
     p = lambda text, y, x1=300: {"type": "paragraph", "text": text, "box": (0, y, x1, y + 10), "size": 10}
     assert [b["text"] for b in layout.merge_paragraphs([p("one", 0), p("two", 12), p("far", 80)])] == ["one two", "far"]
+    blocks = [{"type": "figure", "box": (0, 0, 50, 50)}, {"type": "caption", "box": (0, 55, 50, 60), "text": "Fig 1"}, {"type": "figure", "box": (0, 70, 50, 90)}]
+    assert [b.get("caption") for b in layout.with_captions(blocks)] == ["Fig 1", None]
+    assert layout.framed_text((0, 0, 100, 100), [(0, 0, 50, 50)], []) and not layout.framed_text((0, 0, 100, 100), [(0, 0, 10, 10)], [])
+    page = spark.createDataFrame([("d", 1, "paragraph", t, 0.0, y, 300.0, y + 10, 10.0, False) for t, y in (("far", 80.0), ("one", 0.0), ("two", 12.0))], "doc_id string, page int, type string, text string, x0 double, y0 double, x1 double, y1 double, size double, indented boolean")
+    assert [r.text for r in layout.pages_in_order(page).orderBy("no").collect()] == ["one two", "far"]
+    assert [tuple(r) for r in layout.statistics(spark.createDataFrame([("d", [("table", None, [["ab", None], ["c"]]), ("paragraph", "xyz", None)])], "doc_id string, blocks array<struct<type:string,text:string,rows:array<array<string>>>>")).collect()] == [("d", 6, 0, 1, 0)]
     lines = spark.createDataFrame([("d", k, f"Page {k}", 0.0, 10.0, 800.0, 8.0) for k in range(1, 5)] + [("d", 1, "body", 300.0, 310.0, 800.0, 10.0)], "doc_id string, page int, text string, y0 double, y1 double, height double, size double")
     sizes = spark.createDataFrame([("d", 10.0)], "doc_id string, body_size double")
     assert [(r.key, r.n) for r in layout.running_lines(lines, sizes).collect()] == [("Page#", 4)]
