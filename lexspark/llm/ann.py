@@ -173,7 +173,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), pa.array(list_, pa.int32()), pa.array(block, pa.int32()), pa.array(marks, pa.binary())], ["id", "vec", "query", "part", "list", "block", "marks"])
 
-    asked = asked.withColumn("part", F.pmod("query", F.lit(n_groups)).cast("int"))
+    # few rows, but a walk over the cells for each: they go to all cores
+    asked = asked.withColumn("part", F.pmod("query", F.lit(n_groups)).cast("int")).repartition(max(n_groups, spark.sparkContext.defaultParallelism), "query")
     visits = asked.mapInArrow(visit, "id bigint, vec array<double>, query bigint, part int, list int, block int, marks binary")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
