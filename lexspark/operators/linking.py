@@ -14,7 +14,7 @@ SHORTEST_TITLE, SHORTEST_KEY, NEAR, PER_REFERENCE, IN_ALL, HEADING = 6, 8, 60, 3
 def series_titles(state: DataFrame) -> DataFrame:
     """name, owner, ord: the normalised titles (the id where there is none) of documents that are not removed, of
     SHORTEST_TITLE characters at least; the first in the order of ids names the series."""
-    own = state.where("removed_at is null").select("doc_id", "series", title_norm(F.coalesce(F.nullif("title", F.lit("")), "doc_id")).alias("name"))
+    own = state.where("removed_at is null").select("doc_id", "series", title_norm(F.coalesce(F.nullif("title", F.lit("")), F.col("doc_id").cast("string"))).alias("name"))
     return own.where(F.length("name") >= SHORTEST_TITLE).groupBy("name").agg(F.min_by("series", "doc_id").alias("owner"), F.min("doc_id").alias("ord"))
 
 
@@ -26,14 +26,16 @@ def display_order(links: DataFrame, n: int = 3) -> DataFrame:
 
 
 def longest_contained(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, least: int = SHORTEST_TITLE) -> DataFrame:
-    """For each text the longest name (name, owner, ord) in it; ties to the smaller ord. Names meet texts on their first
-    trigram, an equi join, before they are compared whole."""
-    known = names.where(F.length("name") >= least).select("name", "owner", "ord", F.substring("name", 1, 3).alias("gram"))
-    grams = F.array_distinct(trigrams(F.col(text_col)))
-    own = texts.select(id_col, F.col(text_col).alias("_text"), F.explode(grams).alias("gram"))
-    found = own.join(known, "gram").where(F.contains("_text", "name"))
-    best = found.groupBy(id_col).agg(F.min(F.struct((-F.length("name")).alias("n"), "ord", "name", "owner")).alias("best"))
-    return best.select(id_col, F.col("best.name").alias("name"), F.col("best.owner").alias("owner"))
+    """For each text the longest name (name, owner, ord) in it; ties to the smaller ord. Names meet texts on their
+    trigram that fewest names share, an equi join of ids and trigrams; only then texts and names are compared whole."""
+    known = names.where(F.length("name") >= least).select("name", "owner", "ord")
+    grams = known.select("name", F.explode(F.array_distinct(trigrams(F.col("name")))).alias("gram")).distinct()
+    rare = grams.join(grams.groupBy("gram").agg(F.count("*").alias("n")), "gram").groupBy("name").agg(F.min(F.struct("n", "gram")).alias("r")).select("name", F.col("r.gram").alias("gram"))
+    own = texts.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    near = own.select("_id", F.explode(F.array_distinct(trigrams(F.col("_text")))).alias("gram")).join(rare, "gram").select("_id", "name").distinct()
+    found = near.join(own, "_id").where(F.contains("_text", "name")).select("_id", "name").join(known, "name")
+    best = found.groupBy("_id").agg(F.min(F.struct((-F.length("name")).alias("n"), "ord", "name", "owner")).alias("best"))
+    return best.select(F.col("_id").alias(id_col), F.col("best.name").alias("name"), F.col("best.owner").alias("owner"))
 
 
 def link_notices(notices: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:

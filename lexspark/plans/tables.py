@@ -164,35 +164,12 @@ def hybrid_rrf(spark, sf_dir):
     return fused.select("id", F.round("score", 9).alias("score"))
 
 
-@query("SELECT doc_id, CAST(strpos(lower(text), 'erth') - 1 AS INT) AS at FROM documents WHERE contains(lower(text), 'erth')")
-def first_match_offset(spark, sf_dir):
-    return docs(spark, sf_dir).where(F.contains(F.lower("text"), F.lit("erth"))).select("doc_id", (F.instr(F.lower("text"), "erth") - 1).alias("at"))
-
-
-@query("SELECT doc_id, substr(text, greatest(strpos(lower(text), 'erth') - 120, 1), least(strpos(lower(text), 'erth') - 1, 120) + 220) AS excerpt FROM documents WHERE contains(lower(text), 'erth')")
-def excerpt_window(spark, sf_dir):
-    at = F.instr(F.lower("text"), "erth")
-    return docs(spark, sf_dir).where(at > 0).select("doc_id", F.substr("text", F.greatest(at - 120, F.lit(1)), F.least(at - 1, F.lit(120)) + 220).alias("excerpt"))
-
-
 @query("SELECT doc_id, arg_min(item_id, (-length(b.text), item_id)) AS item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) >= 6 GROUP BY doc_id")
 def longest_match(spark, sf_dir):
     names = table(spark, sf_dir, "benchmark").select(F.col("text").alias("name"), F.col("item_id").alias("owner"), F.col("item_id").alias("ord"))
     return linking.longest_contained(docs(spark, sf_dir), names, "doc_id", "text").select("doc_id", F.col("owner").alias("item_id"))
 
 
-@query("SELECT line, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents) WHERE line <> '' GROUP BY line HAVING count(DISTINCT doc_id) >= 4")
-def running_lines(spark, sf_dir):
-    lines = docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.btrim("line", F.lit(" ")).alias("line"))
-    return lines.where("line <> ''").distinct().groupBy("line").agg(F.count("*").alias("n")).where("n >= 4")
-
-
-@query("SELECT p_brand, arg_max(p_size, (n, -p_size)) AS body_size FROM (SELECT p_brand, p_size, sum(length(p_name)) AS n FROM part GROUP BY p_brand, p_size) GROUP BY p_brand")
-def weighted_mode_size(spark, sf_dir):
-    own = table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.sum(F.length("p_name")).alias("n"))
-    return own.groupBy("p_brand").agg(F.max_by("p_size", F.struct("n", (-F.col("p_size")).alias("s"))).alias("body_size"))
-
-
 def _snapshots(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     before = orders.where("o_orderkey % 5 <> 0").select("o_orderkey", F.when(F.col("o_orderkey") % 7 == 0, F.lit("X")).otherwise(F.col("o_orderstatus")).alias("v"))
@@ -294,11 +271,6 @@ def hydrate_join(spark, sf_dir):
     return out.groupBy("r_name", "n_name").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
-@query("SELECT lang, count(*) AS sections FROM (SELECT lang, source, lag(lang || source) OVER (ORDER BY lang, source, doc_id) IS DISTINCT FROM lang || source AS first FROM documents) WHERE first GROUP BY lang")
-def control_breaks(spark, sf_dir):
-    return docs(spark, sf_dir).groupBy("lang", "source").agg(F.count("*").alias("n")).groupBy("lang").agg(F.count("*").alias("sections"))
-
-
 @query()
 def chunk_documents(spark, sf_dir):
     blocks = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), F.array(F.struct(F.lit("heading").alias("type"), F.lit(1).alias("page"), F.lit(2).alias("level"), F.concat(F.lit("Doc "), "doc_id").alias("text")), F.struct(F.lit("paragraph").alias("type"), F.lit(1).alias("page"), F.lit(None).cast("int").alias("level"), F.col("text").alias("text"))).alias("blocks"))

@@ -6,6 +6,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -60,7 +61,7 @@ def _plain(row) -> tuple:
             return one(x.asDict())
         if isinstance(x, list | tuple):
             return tuple(map(one, x))
-        if x is None or x != x:
+        if x is None or x is pd.NA or x != x:
             return None
         return round(float(x), 6) if isinstance(x, float | int) and not isinstance(x, bool) else str(x)
 
