@@ -262,7 +262,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weight = member.groupBy("node").agg(F.sum("n").alias("w"))
     pivots = member.join(weight, "node").groupBy("bucket").agg(F.first("n").alias("n"), F.min(F.struct((-F.col("w")).alias("w"), "node")).alias("p")).select("bucket", "n", F.col("p.node").alias("a"))
     pairs = member.withColumn("salt", _salt()).join(_salted(pivots), ["bucket", "salt"]).where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    wanted = member.select("node").distinct()
+    # written, so that its size is known before the texts would be shuffled to meet it
+    wanted = stored(member.select("node").distinct())
     named = docs.select(F.col(id_col).alias("_id"), text_col).join(wanted.select(F.col("node.id").alias("id")), F.col("_id") == F.col("id"), "left_semi")
     # rows of one id may hold other texts too
     sets = stored(sets_of(named, "_id", text_col).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
