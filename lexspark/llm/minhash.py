@@ -185,8 +185,8 @@ def _salted(of_bucket: DataFrame) -> DataFrame:
     return of_bucket.withColumn("salt", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / SALT).cast("int") - 1))).drop("n")
 
 
-def _in_blocks(open_: DataFrame, share: int) -> DataFrame:
-    """Links between members of a bucket that are in different components; open_: bucket, n, node, component, signature, shingles.
+def _in_blocks(open_: DataFrame, classes: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Links between members of a bucket that are in different components; open_: bucket, n, node, component, n_shingles.
 
     Sets that are linked differ in size by the factor 100 / share at most, so a member meets those of its own class of
     sizes and of the two next ones. A class of sizes of many members is dealt into blocks."""
@@ -223,7 +223,7 @@ def _in_blocks(open_: DataFrame, share: int) -> DataFrame:
         nodes = own.column("node")
         return pa.table({"a": nodes.take(pa.array(a_of, pa.int64())), "b": nodes.take(pa.array(b_of, pa.int64()))})
 
-    size = F.floor(F.ln(F.octet_length("shingles") / 8) / F.lit(float(np.log(100 / (share - 1))))).cast("int")
+    size = F.floor(F.ln("n_shingles") / F.lit(float(np.log(100 / (share - 1))))).cast("int")
     rows = open_.withColumn("bin", size)
     blocks_of = rows.groupBy("bucket", "bin").agg(F.first("n").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
     # at most some hundred classes of sizes in a bucket
@@ -239,7 +239,9 @@ def _in_blocks(open_: DataFrame, share: int) -> DataFrame:
         F.transform(up_to(count(b + 1)), lambda q: meeting(b, p, b + 1, q)),
         F.transform(up_to(count(b - 1)), lambda q: meeting(b - 1, q, b, p)),
     )
-    rows = rows.select("bucket", "node", "component", "signature", "shingles", "bin", "block", F.explode(meetings).alias("m")).select("bucket", "node", "component", "signature", "shingles", "bin", "block", "m.*")
+    rows = rows.select("bucket", "node", "component", "bin", "block", F.explode(meetings).alias("m")).select("bucket", "node", "component", "bin", "block", "m.*")
+    # signatures and sets come last: the rows before are narrow
+    rows = rows.join(classes.select("node", "signature"), "node").join(sets, "node")
     return rows.groupBy("bucket", "b1", "p1", "b2", "p2").applyInArrow(run, f"a {node}, b {node}")
 
 
@@ -251,8 +253,8 @@ def numbered_nodes(column: pa.ChunkedArray) -> list[int]:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE) -> DataFrame:
     """id, n_shingles, class_id (smallest id with the same set), component_id (smallest id reachable), kept."""
     own = stored(features(docs, id_col, text_col).select(F.col(id_col).alias("_row"), "n_shingles", "signature", F.when(F.col(id_col).isNotNull(), F.col("set_key")).alias("_set")))
-    classes = own.where("_set is not null").groupBy("_set").agg(F.min("_row").alias("id"), F.first("signature").alias("signature"))
-    classes = stored(classes.select(F.struct("id", F.col("_set").alias("key")).alias("node"), "signature"))
+    classes = own.where("_set is not null").groupBy("_set").agg(F.min("_row").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
+    classes = stored(classes.select(F.struct("id", F.col("_set").alias("key")).alias("node"), "signature", "n_shingles"))
 
     bands = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substring("signature", k * (4 * ROWS) + 1, F.lit(4 * ROWS)))).alias("band", "part")
     member = classes.select("node", bands).select("node", F.xxhash64("band", "part").alias("bucket")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int"))
@@ -262,8 +264,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weight = member.groupBy("node").agg(F.sum("n").alias("w"))
     pivots = member.join(weight, "node").groupBy("bucket").agg(F.first("n").alias("n"), F.min(F.struct((-F.col("w")).alias("w"), "node")).alias("p")).select("bucket", "n", F.col("p.node").alias("a"))
     pairs = member.withColumn("salt", _salt()).join(_salted(pivots), ["bucket", "salt"]).where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    # written, so that its size is known before the texts would be shuffled to meet it
-    wanted = stored(member.select("node").distinct())
+    wanted = member.select("node").distinct()
     named = docs.select(F.col(id_col).alias("_id"), text_col).join(wanted.select(F.col("node.id").alias("id")), F.col("_id") == F.col("id"), "left_semi")
     # rows of one id may hold other texts too
     sets = stored(sets_of(named, "_id", text_col).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
@@ -275,12 +276,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     still = state.where("n > 2").groupBy("bucket").agg(F.first("n").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("x < y")
     still = still.groupBy("n", "who").agg(F.min("bucket").alias("bucket"))  # buckets with the same members are compared once
     left = state.withColumn("salt", _salt()).join(_salted(still.select("bucket", "n")), ["bucket", "salt"]).drop("salt")
-    left = cut(left.join(classes, "node").join(sets, "node"))
-    more = cut(_in_blocks(left, share))
+    left = cut(left.join(classes.select("node", "n_shingles"), "node"))
+    more = cut(_in_blocks(left, classes, sets, share))
     if not more.isEmpty():
         comp = cut(components(links.union(more)))
 
-    named_comp = classes.join(comp, "node", "left").select(F.col("node.key").alias("_key"), F.col("node.id").alias("class_id"), F.coalesce("component", "node")["id"].alias("component_id"))
+    named_comp = classes.select("node").join(comp, "node", "left").select(F.col("node.key").alias("_key"), F.col("node.id").alias("class_id"), F.coalesce("component", "node")["id"].alias("component_id"))
     out = own.join(named_comp, own["_set"] == named_comp["_key"], "left")
     return out.select(
         F.col("_row").alias(id_col),
