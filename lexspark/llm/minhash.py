@@ -1,7 +1,7 @@
 """MinHash near-duplicate detection, exact in its links.
 
 1. A document's set: distinct shingles of five words, each as a 64-bit polynomial hash of 64-bit word hashes.
-   Documents with the same set form a class; its smallest id stands for it.
+   Documents with the same set form a class, a node, numbered once in a table; its smallest id stands for it.
 2. HASHES universal hash functions (multiply-shift) give the minima of a set; BANDS bands of ROWS minima give buckets.
 3. Signature verification and full sets. In each bucket one pivot is compared with every member (linear in the bucket);
    the links that full sets confirm go to connected components (alternating large-star and small-star). Buckets whose
@@ -11,6 +11,10 @@
    of its links. No pair of a group is emitted as a row. What a bucket's members are joined with is salted by its size.
 4. The components of the classes, joined back to all documents.
 
+Sets are made again, for the documents that share a bucket alone: a table of BITS bits, of a fixed size, holds the hashed
+ids of those documents and keeps most other texts out of Python and out of the shuffle; set keys then decide exactly.
+Once about as many documents as bits share buckets it keeps nothing out any more, and only time is lost.
+
 Null, empty and blank texts: the empty set, linked with nothing. Fewer than five words: the whole sequence is the one
 shingle. Repeated rows of one id are one document if their sets agree; rows of one id with different sets are nodes of
 their own, linked each by its own set, that share the id in the result. Ids of any type that has an order; null ids: own
@@ -38,6 +42,8 @@ SHARE = 85
 BLOCK = 256
 #: Salts by which buckets meet their sizes; members of a bucket for a salt once sizes are known.
 SPREAD, SALT = 8, 256
+#: Bits of the table of hashed ids (4 MB), and of each of its rows.
+BITS, BITS_ROW = 1 << 25, 1 << 15
 _RANDOM = np.random.default_rng(20240607)
 _A = _RANDOM.integers(0, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RANDOM.integers(0, 2**63, HASHES, np.uint64)
@@ -118,20 +124,29 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_shingles bigint, set_key binary, signature binary")
 
 
-def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node (id and set_key), shingles (sorted little-endian 64-bit hashes)."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def sets_of(docs: DataFrame, text_col: str) -> DataFrame:
+    """key (set_key of features), shingles (sorted little-endian 64-bit hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(1))
+            texts = as_bytes(batch.column(0))
             for a, b in blocks(texts):
                 h, begin = shingles(texts[a:b])
                 own = [h[x:y].tobytes() for x, y in zip(begin[:-1], begin[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([xxhash.xxh3_128_digest(x) for x in own], pa.binary()), pa.array(own, pa.binary())], ["id", "set_key", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in own], pa.binary()), pa.array(own, pa.binary())], ["key", "shingles"])
+
+    return docs.select(text_col).mapInArrow(run, "key binary, shingles binary")
 
-    out = docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, set_key binary, shingles binary")
-    return out.select(F.struct("id", F.col("set_key").alias("key")).alias("node"), "shingles")
+
+def _hashed_in(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The documents whose ids' hashes are in a table of BITS bits of the ids' hashes: all that are among ids, and a few others."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    bits = ids.select(place("id").alias("p")).groupBy(F.floor(F.col("p") / BITS_ROW).cast("int").alias("_part"))
+    bits = bits.agg(F.bitmap_construct_agg(F.col("p") % BITS_ROW).alias("_bits"))  # BITS / 8 bytes at most, so it is broadcast
+    at = place(id_col) % BITS_ROW
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = docs.withColumn("_part", F.floor(place(id_col) / BITS_ROW).cast("int")).join(F.broadcast(bits), "_part")
+    return met.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(docs.columns)
 
 
 def linked(x: bytes, y: bytes, share: int = SHARE) -> bool:
@@ -144,7 +159,6 @@ def linked(x: bytes, y: bytes, share: int = SHARE) -> bool:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
     """The pairs (a, b) of nodes that are links on full sets."""
-    node = pairs.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,11 +166,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, f"a {node}, b {node}")
+    return joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node): alternating large-star and small-star until nothing changes."""
+    """node, component (its smallest node, which has no row itself): alternating large-star and small-star until nothing changes."""
     now = cut(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct())
     seen = None
     while True:
@@ -191,11 +205,10 @@ def _in_blocks(open_: DataFrame, classes: DataFrame, sets: DataFrame, share: int
     Sets that are linked differ in size by the factor 100 / share at most, so a member meets those of its own class of
     sizes and of the two next ones. A class of sizes of many members is dealt into blocks."""
     least_alike = share / 100 - 5 * (share / 100 * (1 - share / 100) / HASHES) ** 0.5
-    node = open_.schema["node"].dataType.simpleString()
 
     def run(own: pa.Table) -> pa.Table:
         first = [own.column(c)[0].as_py() for c in ("b1", "p1", "b2", "p2")]
-        bins, block, comp = own.column("bin").to_numpy(), own.column("block").to_numpy(), numbered_nodes(own.column("component"))
+        bins, block, comp = own.column("bin").to_numpy(), own.column("block").to_numpy(), own.column("component").to_pylist()
         sign = np.frombuffer(b"".join(own.column("signature").to_pylist()), "<u4").reshape(-1, HASHES)
         sets = own.column("shingles").to_pylist()
         parent: dict[int, int] = {}
@@ -242,19 +255,14 @@ def _in_blocks(open_: DataFrame, classes: DataFrame, sets: DataFrame, share: int
     rows = rows.select("bucket", "node", "component", "bin", "block", F.explode(meetings).alias("m")).select("bucket", "node", "component", "bin", "block", "m.*")
     # signatures and sets come last: the rows before are narrow
     rows = rows.join(classes.select("node", "signature"), "node").join(sets, "node")
-    return rows.groupBy("bucket", "b1", "p1", "b2", "p2").applyInArrow(run, f"a {node}, b {node}")
-
-
-def numbered_nodes(column: pa.ChunkedArray) -> list[int]:
-    seen: dict = {}
-    return [seen.setdefault((x["id"], x["key"]), len(seen)) for x in column.to_pylist()]
+    return rows.groupBy("bucket", "b1", "p1", "b2", "p2").applyInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE) -> DataFrame:
     """id, n_shingles, class_id (smallest id with the same set), component_id (smallest id reachable), kept."""
     own = stored(features(docs, id_col, text_col).select(F.col(id_col).alias("_row"), "n_shingles", "signature", F.when(F.col(id_col).isNotNull(), F.col("set_key")).alias("_set")))
     classes = own.where("_set is not null").groupBy("_set").agg(F.min("_row").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
-    classes = stored(classes.select(F.struct("id", F.col("_set").alias("key")).alias("node"), "signature", "n_shingles"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "id", F.col("_set").alias("key"), "signature", "n_shingles"))
 
     bands = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substring("signature", k * (4 * ROWS) + 1, F.lit(4 * ROWS)))).alias("band", "part")
     member = classes.select("node", bands).select("node", F.xxhash64("band", "part").alias("bucket")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int"))
@@ -264,10 +272,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weight = member.groupBy("node").agg(F.sum("n").alias("w"))
     pivots = member.join(weight, "node").groupBy("bucket").agg(F.first("n").alias("n"), F.min(F.struct((-F.col("w")).alias("w"), "node")).alias("p")).select("bucket", "n", F.col("p.node").alias("a"))
     pairs = member.withColumn("salt", _salt()).join(_salted(pivots), ["bucket", "salt"]).where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    wanted = member.select("node").distinct()
-    named = docs.select(F.col(id_col).alias("_id"), text_col).join(wanted.select(F.col("node.id").alias("id")), F.col("_id") == F.col("id"), "left_semi")
-    # rows of one id may hold other texts too
-    sets = stored(sets_of(named, "_id", text_col).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    wanted = classes.select("node", "id", "key").join(member.select("node").distinct(), "node", "left_semi")
+    named = _hashed_in(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", wanted.select("id"))
+    # repeated rows, and other texts with hashes in the table
+    sets = sets_of(named, "_text").join(wanted.select("node", "key"), "key")
+    sets = stored(sets.groupBy("key").agg(F.first("node").alias("node"), F.first("shingles").alias("shingles")).select("node", "shingles"))
     links = cut(confirmed(pairs, sets, share))
     comp = cut(components(links))
 
@@ -281,7 +290,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         comp = cut(components(links.union(more)))
 
-    named_comp = classes.select("node").join(comp, "node", "left").select(F.col("node.key").alias("_key"), F.col("node.id").alias("class_id"), F.coalesce("component", "node")["id"].alias("component_id"))
+    comp = comp.union(comp.select("component", "component").distinct())  # a component's own node is in no link of its own
+    least = classes.select("node", "id").join(comp, "node").groupBy("component").agg(F.min("id").alias("component_id"))
+    named_comp = classes.select("node", "key", F.col("id").alias("class_id")).join(comp.join(least, "component").select("node", "component_id"), "node", "left")
+    named_comp = named_comp.select(F.col("key").alias("_key"), "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
     out = own.join(named_comp, own["_set"] == named_comp["_key"], "left")
     return out.select(
         F.col("_row").alias(id_col),
