@@ -288,7 +288,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = cut(left.join(classes.select("node", "n_shingles"), "node"))
     more = cut(_in_blocks(left, classes, sets, share))
     if not more.isEmpty():
-        comp = cut(components(links.union(more)))
+        # only the components that the new links join are gone over again
+        of = comp.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+        joined = more.join(of, F.col("a") == F.col("_n"), "left").select(F.coalesce("_c", "a").alias("a"), "b")
+        joined = joined.join(of, F.col("b") == F.col("_n"), "left").select("a", F.coalesce("_c", "b").alias("b"))
+        met = cut(components(joined))
+        to = met.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+        comp = comp.join(to, F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_c", "component").alias("component")).union(met)
 
     comp = comp.union(comp.select("component", "component").distinct())  # a component's own node is in no link of its own
     least = classes.select("node", "id").join(comp, "node").groupBy("component").agg(F.min("id").alias("component_id"))
