@@ -160,6 +160,18 @@ def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_near_duplicates_with_a_full_table_of_ids(spark, monkeypatch):
+    """A table of eight bits keeps no text out: set keys decide. Late links join components."""
+    monkeypatch.setattr(minhash, "BITS", 8)
+    rng = random.Random(9)
+    rows = family(rng, [f"c{i}" for i in range(250)], 40, 5, 0) + [(900 + k, f"other words {k} stand here alone {k}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    some = docs.select(F.col("doc_id").alias("id")).where("id % 3 = 0")
+    assert {r.doc_id for r in minhash._hashed_in(docs, "doc_id", some).collect()} >= {r.id for r in some.collect()}
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert got == brute_components(rows)
+
+
 def test_near_duplicates_odd_rows(spark, odd):
     got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(odd).collect()}
     assert {(1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 4, False), (7, 7, True), (8, 7, False), (None, None, True)} <= got
