@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspark.functions.columns import let, occurrences, trigrams
+from lexspark.functions import grams
+from lexspark.functions.columns import occurrences
 from lexspark.functions.text import nfkc_column
 
 K1, B, SHORTEST, LEAST_IDF = 1.2, 0.75, 3, 1e-6
@@ -76,8 +77,9 @@ def substring_search(chunks: DataFrame, words: list[str], text_col: str = "text"
 
 def postings(chunks: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """gram, id, freq of every trigram."""
-    # a text's own trigrams are sorted and counted inside its row: one entry of each leaves it, and nothing is shuffled
-    last = lambda g: F.filter(F.transform(g, lambda x, i: F.struct(x.alias("gram"), i.alias("i"), F.get(g, i + 1).alias("next"))), lambda x: ~x["gram"].eqNullSafe(x["next"]))
-    counts = lambda r: F.transform(r, lambda x, k: F.struct(x["gram"].alias("gram"), (x["i"] - F.coalesce(F.get(r, k - 1)["i"], F.lit(-1))).cast("bigint").alias("freq")))
-    own = chunks.select(id_col, F.explode(let(let(F.array_sort(trigrams(F.lower(text_col))), last), counts)).alias("e"))
-    return own.select("e.gram", id_col, "e.freq")
+    return grams.postings(chunks, id_col, text_col, lower=True)
+
+
+def gram_totals(chunks: DataFrame, text_col: str = "text") -> DataFrame:
+    """gram, docs, freq of every trigram, each row being a document: the postings summed up by gram."""
+    return grams.totals(chunks, text_col, lower=True)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexspark import plans
 from lexspark.functions import columns as C
+from lexspark.functions import grams as G
 from lexspark.functions import text as T
 from lexspark.operators import chunking, diff, history, layout, linking, search, store
 from lexspark.sources import documents, web
@@ -238,3 +239,30 @@ def test_query_equals_sql(spark, name):
 
 def test_terms():
     assert search.terms_of('The "ab" ＴＨＥ thing') == ["the", "thing"]
+
+
+GRAM_SQL = "SELECT doc_id, gram, count(*) AS freq FROM (SELECT doc_id, substr(lower(text), unnest(range(1, length(text) - 1)), 3) AS gram FROM documents WHERE length(text) >= 3) GROUP BY doc_id, gram"
+
+
+@pytest.mark.parametrize("block", [8, 1 << 20])
+def test_trigrams_of_odd_texts_equal_sql(spark, tmp_path, monkeypatch, block):
+    """Letters whose lower case depends on their place or takes two characters, blocks and parts of every size."""
+    monkeypatch.setattr(G, "BLOCK", block)
+    texts = ["", "ab", None, "abc", "ΟΔΟΣ ΟΔΟΣ", "İstanbul İİİİ", "𠮷bcd𠮷bcd", "aaaa" * 9 + "\n\u0000\u0000\u0000", "Straße ÄÖÜ " * 5, "第１２条" * 7, "".join(map(chr, range(32, 700)))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    batch = docs.toArrow().combine_chunks()["text"].chunk(0)
+    local = sorted((int(b + o), g[k], int(n)) for b, grams, own, place, freq in G.blocks(batch, True) for g in [G.spelled(grams).to_pylist()] for o, k, n in zip(own, place, freq, strict=True))
+    assert local == sorted(con.execute(GRAM_SQL).fetchall())
+    assert sorted((r.doc_id, r.gram, r.freq) for r in search.postings(docs, "doc_id").collect()) == local
+    got = plans.QUERIES["trigram_postings"](spark, str(tmp_path))
+    assert got.columns == ["gram", "docs", "freq"]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(con.execute(plans.ORACLES["trigram_postings"]).fetchall())
+
+
+def test_trigrams_are_summed_up_before_a_shuffle(spark):
+    """No row of a text and a gram leaves a task: what is shuffled grows with the distinct grams of a block."""
+    plan = plans.QUERIES["trigram_postings"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
