@@ -50,12 +50,11 @@ def newest_first(events: Column) -> Column:
 def hits(found: DataFrame, terms: list[str]) -> DataFrame:
     """Search hits (chunks with their documents' columns) as shown: the page of the match, whether the heading is to be
     trusted for it, the clause there if not, the excerpt, the address of the page."""
-    own = found.withColumn("_terms", F.array(*[F.lit(t) for t in terms]).cast("array<string>"))
-    own = own.withColumn("offset", F.coalesce(T.first_match_column("text", "_terms"), F.lit(0)))
+    own = found.withColumn("offset", F.coalesce(T.first_match_column("text", terms), F.lit(0)))
     start = F.coalesce("page_start", F.lit(0))
     own = own.withColumn("page", F.coalesce(page_at(F.col("pages"), F.col("offset")), start)).withColumn("heading_reliable", F.abs(F.col("page") - start) <= 1)
     clause = F.when(~F.col("heading_reliable"), T.clause_at_column("text", "offset", "heading"))
-    return own.withColumn("clause_at_match", clause).withColumn("snippet", T.excerpt_column("text", "_terms")).withColumn("pdf_page_url", C.page_url(F.col("pdf_url"), F.col("page"))).drop("_terms")
+    return own.withColumn("clause_at_match", clause).withColumn("snippet", T.excerpt_column("text", terms)).withColumn("pdf_page_url", C.page_url(F.col("pdf_url"), F.col("page")))
 
 
 def by_document(page: DataFrame, place: str, doc: str, row: list[str]) -> DataFrame:

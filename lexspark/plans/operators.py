@@ -26,13 +26,13 @@ def hydrate_ranked(spark, sf_dir):
 @query("SELECT doc_id, CAST(strpos(lower(text), 'erth') - 1 AS INT) AS at FROM documents WHERE contains(lower(text), 'erth')")
 def first_match_offset(spark, sf_dir):
     own = docs(spark, sf_dir).where(F.contains(F.lower("text"), F.lit("erth")))
-    return own.select("doc_id", T.first_match_column("text", F.array(F.lit("erth"))).alias("at"))
+    return own.select("doc_id", T.first_match_column("text", ["erth"]).alias("at"))
 
 
 @query("SELECT doc_id, CASE WHEN p > 121 THEN '… ' ELSE '' END || substr(text, greatest(p - 120, 1), p + 219 - greatest(p - 121, 0)) || CASE WHEN p + 219 < length(text) THEN ' …' ELSE '' END AS excerpt FROM (SELECT *, strpos(lower(text), 'erth') AS p FROM documents) WHERE p > 0")
 def excerpt_window(spark, sf_dir):
     own = docs(spark, sf_dir).where(F.contains(F.lower("text"), F.lit("erth")))
-    return own.select("doc_id", F.translate(T.excerpt_column("text", F.array(F.lit("erth"))), T.OPEN + T.CLOSE, "").alias("excerpt"))
+    return own.select("doc_id", F.translate(T.excerpt_column("text", ["erth"]), T.OPEN + T.CLOSE, "").alias("excerpt"))
 
 
 @query("SELECT lang, source, doc_id, (coalesce(nullif(source, ''), 'その他') IS DISTINCT FROM lag(coalesce(nullif(source, ''), 'その他')) OVER (PARTITION BY lang ORDER BY source, doc_id)) AS opens FROM documents")

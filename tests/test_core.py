@@ -266,3 +266,19 @@ def test_trigrams_are_summed_up_before_a_shuffle(spark):
     """No row of a text and a gram leaves a task: what is shuffled grows with the distinct grams of a block."""
     plan = plans.QUERIES["trigram_postings"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "MapInArrow" in plan
+
+
+def test_python_gets_windows_of_texts(spark):
+    """What is sent to Python for an excerpt doesn't grow with the text, and gives the excerpt of the whole text."""
+    terms = [["erth"], ["er", "erth" * 3], ["ss"], ["ＥＲ"], []]
+    gaps = [0, 1, 119, 120, 121, 122, 218, 219, 220, 221, 4000]
+    middles = ["erth", "ERTH erth erTH", "Ｅrth erth", "ßerth", "㍿er", "ÜerÜ カerth" + "x" * 208 + "erth" * 3, "", "İerth"]
+    rows = [(f * g + m + f * h, g * h) for f in ("x", "é", "ß") for g in gaps for h in gaps for m in middles] + [(None, 0), ("", 0)]
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, text string, n int").cache()
+    for t in terms:
+        got = docs.select("k", "text", T.excerpt_column("text", t).alias("e"), T.first_match_column("text", t).alias("at"), F.length(T.near(F.col("text"), t, T.BEFORE, T.AFTER)["text"]).alias("sent")).collect()
+        assert [(r.e, r["at"]) for r in got] == [(T.excerpt(r.text, t), T.first_match(r.text, t)) for r in got]
+        if t == ["erth"]:
+            assert all(r.sent <= T.BEFORE + T.AFTER + 6 for r in got if r.text and not set(r.text) & set("Ｅ㍿İ"))
+    plain = "".join(map(chr, [c for c in range(0x10000) if T.re.fullmatch(f"[{T.PLAIN}]", chr(c))]))
+    assert all(len(T.nfkc(c).casefold()) == 1 for c in plain) and one(spark, F.lower("c0"), plain) == T.nfkc(plain).casefold() == T.Folded(plain).form
